@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import packing, residue, tokenizer
+from factweave.llm import packing, residue, sourcefiles, tokenizer
 from factweave.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -15,6 +15,17 @@ def query(f):
     return f
 
 
+@query
+def p4_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    files, texts, upstream = (table(spark, d, t) for t in ("source_files", "file_texts", "upstream_files"))
+    return sourcefiles.classify(files, texts, upstream, ["run_id", "file_index"])
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_verdicts(spark, d).where("verdict not in ('hand_written', 'unknown')").select("run_id", "file_index")
+
+
 @query
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, d, "documents"), "doc_id", "text")
