@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.plans import problems
+from factweave.plans import problems, relational
 
-_MODULES = [problems]
+_MODULES = [problems, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
