@@ -157,8 +157,11 @@ def receiver_type_id(receiver: str | Column) -> Column:
 
 
 def first_non_blank(*candidates: str | Column) -> Column:
-    """The first candidate that is neither null nor blank, as it stands."""
-    return F.coalesce(*[F.when(F.trim(_c(c)) != "", _c(c)) for c in candidates])
+    """The first candidate that is neither null nor blank, as it stands.
+
+    Each candidate is evaluated once, so nested calls don't multiply their expressions.
+    """
+    return F.get(F.filter(F.array(*[_c(c) for c in candidates]), lambda x: F.trim(x) != ""), F.lit(0))
 
 
 def nth_json_string(array: str | Column, n: int) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.plans import graphs, problems, relational
+from factweave.plans import changes, derive, graphs, problems, relational
 
-_MODULES = [problems, relational, graphs]
+_MODULES = [problems, relational, graphs, derive, changes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
