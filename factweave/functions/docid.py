@@ -80,7 +80,7 @@ def top_level_split(text: str | Column, brackets: str = "<>()[]") -> Column:
     """Comma-separated pieces, trimmed; commas within brackets don't separate. Null and blank text give null."""
     t = _c(text)
     pieces = _split_depth(t, brackets[::2], brackets[1::2])
-    return F.when(F.trim(t) != "", F.transform(pieces, F.trim))
+    return F.when(F.trim(t) != "", F.transform(pieces, lambda x: F.trim(x)))
 
 
 def nth_type_argument(text: str | Column, n: int) -> Column:

@@ -98,25 +98,28 @@ def containing_gate(rule: EffectRule) -> str:
 def resource_of(strategy: str, index: int = 0) -> Column:
     """The resource of a fact by a named strategy; null where it resolves to nothing or to blanks."""
     c = F.col
-    declaring, receiver = docid.declaring_type("target_symbol_id"), docid.strip_generic(F.regexp_replace("receiver_type", "<.*>", ""))
-    string = docid.first_non_blank(docid.nth_json_string("argument_templates", index), *([c("first_argument_template")] if index == 0 else []))
-    table = docid.nth_type_argument(F.regexp_extract("receiver_type", "<(.*)>", 1), 0)
+    declaring = lambda: docid.declaring_type("target_symbol_id")
+    receiver = lambda: docid.strip_generic(F.regexp_replace("receiver_type", "<.*>", ""))
+    string = lambda: docid.first_non_blank(docid.nth_json_string("argument_templates", index), *([c("first_argument_template")] if index == 0 else []))
+    table = lambda: docid.nth_type_argument(F.regexp_extract("receiver_type", "<(.*)>", 1), 0)
+    asked = lambda n=0: docid.nth_type_argument("type_arguments", n)
+    # only the strategy that is asked for is built
     strategies = {
-        "receiver_type": c("receiver_type"),
+        "receiver_type": lambda: c("receiver_type"),
         "declaring_type": declaring,
-        "type_argument": docid.nth_type_argument("type_arguments", index),
-        "argument_name": docid.first_non_blank(docid.nth_json_string("argument_names", index), *([c("first_argument_name")] if index == 0 else [])),
-        "argument_type": c("first_argument_type"),
+        "type_argument": lambda: asked(index),
+        "argument_name": lambda: docid.first_non_blank(docid.nth_json_string("argument_names", index), *([c("first_argument_name")] if index == 0 else [])),
+        "argument_type": lambda: c("first_argument_type"),
         "string_argument": string,
-        "string_argument_or_receiver": docid.first_non_blank(string, receiver, declaring),
-        "http_argument": docid.first_non_blank(docid.normalize_http(string), receiver),
-        "ef_query_root": docid.first_non_blank(docid.nth_type_argument("type_arguments", 0), table, receiver),
-        "ef_context_receiver": docid.first_non_blank(docid.nth_type_argument("type_arguments", 0), c("first_argument_type"), receiver),
-        "ef_dbset_receiver": docid.first_non_blank(table, docid.nth_type_argument("type_arguments", 0)),
-        "ef_database_facade": F.lit("database"),
-        "slot": c("target_symbol_id"),
+        "string_argument_or_receiver": lambda: docid.first_non_blank(string(), receiver(), declaring()),
+        "http_argument": lambda: docid.first_non_blank(docid.normalize_http(string()), receiver()),
+        "ef_query_root": lambda: docid.first_non_blank(asked(), table(), receiver()),
+        "ef_context_receiver": lambda: docid.first_non_blank(asked(), c("first_argument_type"), receiver()),
+        "ef_dbset_receiver": lambda: docid.first_non_blank(table(), asked()),
+        "ef_database_facade": lambda: F.lit("database"),
+        "slot": lambda: c("target_symbol_id"),
     }
-    return docid.first_non_blank(strategies.get(strategy, F.lit(None).cast("string")))
+    return docid.first_non_blank(strategies.get(strategy, lambda: F.lit(None).cast("string"))())
 
 
 def _first_rule(facts: DataFrame, rules: list[EffectRule], name: Column | None, condition, derived: DataFrame | None = None) -> DataFrame:
@@ -247,6 +250,11 @@ def _observation(kind: str, context: Column, detail: Column, confidence: str) ->
     return F.struct(F.lit(kind).alias("type"), context.cast("string").alias("context"), detail.cast("string").alias("detail"), F.lit(confidence).alias("confidence"))
 
 
+def _entry_of(equal: str, value: str, holding: str, text: str):
+    """A test of a list's entry: one field equals a value, another holds a text."""
+    return lambda x: (x[equal] == value) & x[holding].contains(text)
+
+
 def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry: list[tuple[str, str]] = (), commits: list[str] = (), spans: list[dict] = (), payload: list[str] = (), n_plus_1: bool = True) -> DataFrame:
     """Effects with ``observations``: array<struct<type, context, detail, confidence>>.
 
@@ -266,7 +274,7 @@ def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry:
     if retry:
         first = None
         for method, text in retry:
-            hit = F.filter(inv, lambda x, m=method, t=text: (x["method_name"] == m) & x["receiver_type"].contains(t))
+            hit = F.filter(inv, _entry_of("method_name", method, "receiver_type", text))
             value = F.when(F.size(hit) > 0, _observation("resilience_retry", hit[0]["receiver_type"], hit[0]["method_name"], "medium"))
             first = value if first is None else F.coalesce(first, value)
         found.append(first)
@@ -275,7 +283,7 @@ def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry:
         name = docid.strip_arity(docid.method_name("target_symbol_id"))
         found.append(F.when(name.isin(list(commits)) & (F.size(caught) > 0), _observation("concurrency_handled", caught[0], name, "high")))
     for rule in spans:
-        fit = F.filter(decode.scopes("enclosing_scopes"), lambda s, r=rule: (s["kind"] == r["kind"]) & s["type"].contains(r["text"]))
+        fit = F.filter(decode.scopes("enclosing_scopes"), _entry_of("kind", rule["kind"], "type", rule["text"]))
         allowed = ~F.col("provider").isin(list(rule.get("deny", []))) if rule.get("deny") else F.lit(True)
         found.append(F.when((F.size(fit) > 0) & allowed, _observation(rule["type"], fit[0]["kind"], fit[0]["type"], "high")))
     if payload:

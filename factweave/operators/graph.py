@@ -36,12 +36,12 @@ def redirect(refs: DataFrame, rules: DataFrame) -> DataFrame:
     redirect_to instead, and count as in the source; ``rules`` (method, redirect_to) is rule data, small by nature."""
     r = rules.select("method", "redirect_to").distinct()
     joined = refs.withColumn("__head", docid.head("target_symbol_id")).join(r, F.col("__head") == F.col("method"), "left")
-    moved = F.col("redirect_to").isNotNull() & ~F.col("target_in_source") & (F.col("redirect_to") != F.col("target_symbol_id"))
-    return (
-        joined.withColumn("target_symbol_id", F.when(moved, F.col("redirect_to")).otherwise(F.col("target_symbol_id")))
-        .withColumn("target_in_source", F.coalesce(moved, F.lit(False)) | F.col("target_in_source"))
-        .select(*refs.columns)
-    )
+    moved = F.coalesce(~F.col("target_in_source") & (F.col("redirect_to") != F.col("target_symbol_id")), F.lit(False))
+    # both columns are set from the row as it was
+    return joined.withColumns({
+        "target_symbol_id": F.when(moved, F.col("redirect_to")).otherwise(F.col("target_symbol_id")),
+        "target_in_source": moved | F.col("target_in_source"),
+    }).select(*refs.columns)
 
 
 def classify_handoffs(edges: DataFrame, consumers: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
