@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.plans import changes, derive, graphs, problems, relational
+from factweave.plans import changes, derive, graphs, more, problems, relational
 
-_MODULES = [problems, relational, graphs, derive, changes]
+_MODULES = [problems, relational, graphs, derive, changes, more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p1_counts(spark, folder)
+    """What a pattern's methods reach, and the effects there."""
+    return derive.j17_reaches(spark, folder)
