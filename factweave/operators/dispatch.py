@@ -133,3 +133,17 @@ def one_hop(calls: DataFrame, dispatched: DataFrame) -> DataFrame:
     real = calls.select("from_sym", "to_sym", "non_virtual").distinct()
     more = real.where("not non_virtual").join(dispatched.select(F.col("src").alias("to_sym"), "dst").distinct(), "to_sym").select(F.col("from_sym").alias("src"), "dst", F.col("to_sym").alias("via"))
     return real.select(F.col("from_sym").alias("src"), F.col("to_sym").alias("dst"), F.lit(None).cast("string").alias("via")).unionAll(more).distinct()
+
+
+def propagate_receiver(steps: DataFrame, descendants: DataFrame) -> DataFrame:
+    """(from_sym, to_sym, carried): the receiver type that each step hands on.
+
+    ``steps`` has from_sym, to_sym, carried (type id or null), receiver (type id or null), self_call and dispatched. A
+    call on the same object keeps what is carried; a dispatched step hands on the more derived of the carried and the
+    target's declaring type; any other call hands on its own receiver. ``descendants`` as in ``narrow_by_receiver``.
+    """
+    own = docid.strip_generic(docid.method_type("to_sym"))
+    lower = descendants.where("depth > 0").select(F.col("ancestor").alias("__own"), F.col("type").alias("carried"), F.lit(True).alias("__lower")).distinct()
+    s = steps.withColumn("__own", own).join(lower, ["__own", "carried"], "left")
+    value = F.when(F.col("dispatched"), F.when(F.col("__lower"), F.col("carried")).otherwise(F.col("__own"))).when(F.col("self_call"), F.col("carried")).otherwise(F.col("receiver"))
+    return s.select("from_sym", "to_sym", value.alias("carried")).distinct()

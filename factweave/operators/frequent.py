@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Counts are whole, shares aren't: a product that comes out a hair above a whole number is that number.
+SLACK = 1e-6
+
 
 def frequent_values(
     df: DataFrame, columns: list[str], share: float, hashes: int = 4, buckets: int = 4096
@@ -43,7 +46,7 @@ def frequent_values(
         return df.sparkSession.createDataFrame([], "field_name string, field_value string, n long, n_field long")
     reach = F.lit(False)
     for f, n in totals.items():
-        reach = reach | ((F.col("f") == f) & (F.col("n") >= share * n))
+        reach = reach | ((F.col("f") == f) & (F.col("n") >= share * n - SLACK))
     heavy: dict[tuple[int, int], list[int]] = {}
     for r in counted.where(reach).select("f", "b").collect():
         heavy.setdefault((r.f, r.b // buckets), []).append(r.b % buckets)
@@ -57,6 +60,6 @@ def frequent_values(
     pick = lambda of: F.coalesce(*[F.when(F.col("f") == k, F.lit(x)) for k, x in of.items()])
     return (
         survivors.withColumn("n_field", pick(totals).cast("long"))
-        .where(F.col("n") >= share * F.col("n_field"))
+        .where(F.col("n") >= share * F.col("n_field") - SLACK)
         .select(pick(dict(enumerate(columns))).alias("field_name"), F.col("v").alias("field_value"), "n", "n_field")
     )

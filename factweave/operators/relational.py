@@ -150,3 +150,13 @@ def modal_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's most frequent value, the least among equals."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(key).agg(F.min(F.struct(-F.col("n"), value)).alias("v")).select(key, F.col("v." + value).alias(value))
+
+
+def like_seeds(nodes: DataFrame, column: str, text: str) -> DataFrame:
+    """Rows whose symbol holds the text in any case; a superset of ``match_nodes``. % and _ are ordinary signs."""
+    return nodes.where(F.lower(column).contains(text.lower()))
+
+
+def list_registrations(registrations: DataFrame) -> DataFrame:
+    """Service registrations once each; the caller orders by service and implementation."""
+    return registrations.select("service_type", "implementation_type", "lifetime", "registration_kind", "file_path", "line", "confidence", "basis", "reason").distinct()

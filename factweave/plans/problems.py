@@ -58,7 +58,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     total = {t: table(spark, d, t).count() for t in ("reference_facts", "call_edges")}  # from the files' footers
     hot = F.lit(False)
     for t, n in total.items():
-        hot = hot | ((F.col("source_table") == t) & (F.col("n") >= HOT_SHARE * n))
+        hot = hot | ((F.col("source_table") == t) & (F.col("n") >= HOT_SHARE * n - frequent.SLACK))
     return counts.where(hot & F.col("key_value").isNotNull()).select("source_table", "key_value")
 
 

@@ -67,6 +67,12 @@ def c4_node_match(spark, d):
     return R.match_nodes(nodes, "sym", "Batch")
 
 
+@book.query("select sym from (select from_sym as sym from call_edges union select to_sym from call_edges) where contains(lower(sym), 'batch')")
+def c5_like_seeds(spark, d):
+    nodes = R.node_universe([T(spark, d, "call_edges")], T(spark, d, "symbol_facts").where("false"))
+    return R.like_seeds(nodes, "sym", "Batch")
+
+
 @book.query(
     """with m as (select distinct to_sym as s from call_edges where contains(lower(to_sym), 'store')),
        keep as (select s from m where not (contains(s, '~λ') and split_part(s, '~λ', 1) in (select s from m)))

@@ -319,3 +319,22 @@ def test_dead_code(spark):
     m = spark.createDataFrame([("M:A.Main", "public", "f", 1), ("M:A.used", "private", "f", 2), ("M:A.gone", "private", "f", 3), ("M:A.deep", "internal", "f", 4), ("M:A.#ctor", "private", "f", 5)], "symbol_id string, modifiers string, file_path string, line int")
     e = spark.createDataFrame([("M:A.Main", "M:A.used"), ("M:A.gone", "M:A.deep")], "src string, dst string")
     assert [(r[0], r[1]) for r in rows(V.dead_code(e, m, m.where("false").selectExpr("symbol_id as node")))] == [("M:A.deep", 3), ("M:A.gone", 1)]
+
+
+def test_carried_types(spark):
+    below = spark.createDataFrame([("T:A", "T:A", 0), ("T:A", "T:B", 1)], "ancestor string, type string, depth int")
+    steps = spark.createDataFrame([("x", "M:A.f", "T:B", None, False, True), ("x", "M:A.g", "T:Z", None, False, True), ("x", "M:A.h", "T:B", "T:A", True, False), ("x", "M:A.i", "T:B", "T:A", False, False)], "from_sym string, to_sym string, carried string, receiver string, self_call boolean, dispatched boolean")
+    assert rows(D.propagate_receiver(steps, below)) == [("x", "M:A.f", "T:B"), ("x", "M:A.g", "T:A"), ("x", "M:A.h", "T:B"), ("x", "M:A.i", "T:A")]
+    b = lambda *x: spark.createDataFrame([(n, v) for n, v in x], "node string, bindings array<string>")
+    assert rows(N.union_bindings(b(("n", ["a"])), b(("n", ["b", "a"]), ("m", ["c"])))) == [("m", ["c"]), ("n", ["a", "b"])]
+    assert rows(N.union_bindings(b(("n", ["a", "c"])), b(("n", ["b"])), cap=2)) == [("n", ["a", "b"])]
+    nodes = spark.createDataFrame([("M:A.f%",), ("M:A.fx",)], "n string")
+    assert rows(R.like_seeds(nodes, "n", "F%")) == [("M:A.f%",)]
+
+
+def test_hazards_on_trees(spark):
+    f = spark.createDataFrame([("race", "a", "medium"), ("race", "a", "high"), ("race", "z", "high")], "kind string, m string, c string")
+    tree = spark.createDataFrame([("a",), ("a",)], "node string")
+    assert rows(H.on_tree(f, tree, "kind", "m", "c")) == [("a", "race", "high", 2)]
+    assert rows(H.rollup(f, "kind", "m", "c")) == [("race", "a", 2, 1, 1, 0), ("race", "z", 1, 1, 0, 0)]
+    assert H.without_namespaces(spark.createDataFrame([("M:Lib.A.f",), ("M:App.f",)], "m string"), "m", ["lib"]).count() == 1

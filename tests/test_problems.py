@@ -161,3 +161,13 @@ def test_hierarchies_edges(spark):
     assert deep["149"].depth == 149 and deep["000"].n_below == 149 and deep["149"].root == "000"
     facts = spark.createDataFrame([("r", 1, "A", ""), ("r", 2, "A", "B"), ("r", 0, "B", None), (None, 1, "X", "Y")], "run_id string, fact_index int, symbol_id string, containing_symbol_id string")
     assert rows(hierarchy.symbol_parents(facts)) == [("r", "A", "B"), ("r", "B", None)]
+
+
+def test_clashing_columns_are_ignored(spark):
+    schema = "g string, n string, p string, id long, status string, path string, depth int"
+    df = spark.createDataFrame([("g", "a", None, 1, "x", "y", 9), ("g", "b", "a", 1, "x", "y", 9)], schema)
+    got = hierarchy.hierarchies(df, "g", "n", "p").select("n", "status", "depth")
+    assert rows(got) == [("a", "tree", 0), ("b", "tree", 1)]
+    runs = spark.createDataFrame([("r1", "2031-01-01T00:00:00Z", "s", None, 5, 5), ("r2", "2031-01-02T00:00:00Z", "s", None, 5, 5)], RUNS + ", seq int, run_id int")
+    facts = spark.createDataFrame([("r1", 0, "A", "1", 7, "q"), ("r2", 0, "A", "2", 7, "q")], FACTS + ", seq int, change_type string")
+    assert rows(snapshots.symbol_changes(runs, facts)) == [("r2", "A", "changed")]
