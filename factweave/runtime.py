@@ -109,3 +109,12 @@ def with_dense_id(df: DataFrame, order: list, name: str, tag: str = "numbered")
     out = out.drop("__part", "__row", "__start")
     out._factweave_path = numbered._factweave_path
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores, for work whose cost its few bytes don't show.
+
+    A scan that already has that many splits is left as it is; a small file is dealt out row by row.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
