@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.runtime import spread
+
 N = 5
 BUCKETS = 1 << 20
 WINDOW = 17
@@ -306,7 +308,7 @@ def _counted(docs: DataFrame, text: str, models: Models | None) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    found = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = spread(docs.select(text).where(F.col(text).isNotNull())).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -340,7 +342,7 @@ def residue_scores(docs: DataFrame, key: str, text: str, models: Models) -> Data
                     [key, "residue", "content", "frame", "is_residue"],
                 )
 
-    return docs.select(key, text).where(F.col(text).isNotNull()).mapInArrow(
+    return spread(docs.select(key, text).where(F.col(text).isNotNull())).mapInArrow(
         run, f"`{key}` {kind}, residue double, content double, frame double, is_residue boolean"
     )
 

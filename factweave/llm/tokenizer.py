@@ -15,6 +15,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from factweave.runtime import spread
+
 #: Fixed value: the pattern that splits texts before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_FOLDER = "/opt/tokenizers"
@@ -214,4 +216,4 @@ def encode_texts(docs: DataFrame, key: str, text: str, name: str = "byte_bpe_50k
                 yield pa.RecordBatch.from_arrays([keys[a:b], pa.ListArray.from_arrays(offsets, values)], [key, "ids"])
 
     out = f"`{key}` {kind}, " + ("n_tokens int" if lengths_only else "ids array<int>")
-    return docs.select(key, text).mapInArrow(run, out)
+    return spread(docs.select(key, text)).mapInArrow(run, out)
