@@ -161,7 +161,7 @@ def e13_event_cycles(spark, d):
        r(seed, node) as (select distinct src, src from u union select seed, dst from r join u on src = node) select seed, node from r"""
 )
 def e14_project_closure(spark, d):
-    e = d18_assembly_usage(spark, d).where("uses >= 20").select(F.col("from_assembly").alias("src"), F.col("to_assembly").alias("dst"))
+    e = d18_assembly_usage(spark, d).select(F.col("from_assembly").alias("src"), F.col("to_assembly").alias("dst"))
     return C.reach_each(e, e.select(F.col("src").alias("seed"), F.col("src").alias("node")).distinct()).select("seed", "node")
 
 
