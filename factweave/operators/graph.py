@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import docid
+from factweave.runtime import with_dense_id
 
 # How far traversals follow handoffs, and the dispatcher of an event subscription.
 MODES = ["sync_cut", "async_exact", "async_include"]
@@ -128,3 +129,17 @@ def factory_rewrite(edges: DataFrame, methods: DataFrame, factory: str, argument
 def ordered_adjacency(edges: DataFrame) -> DataFrame:
     """Edges in the order in which traversals take them: by caller, then line, callee, kind and receiver."""
     return edges.orderBy("from_sym", "line", "to_sym", "kind", F.coalesce("receiver_type", F.lit("")))
+
+
+def adjacency_places(edges: DataFrame) -> DataFrame:
+    """(from_sym, to_sym, kind, line, receiver_type, place): every distinct edge with its place, from 1, in the order of
+    ``ordered_adjacency`` among its caller's edges. A receiver of null comes before an empty one.
+
+    All edges are numbered by one range sort, so a hot caller is spread over tasks; its first number is subtracted.
+    """
+    e = edges.select("from_sym", "to_sym", "kind", "line", "receiver_type").distinct()
+    keyed = e.withColumn("__receiver", F.coalesce("receiver_type", F.lit(""))).withColumn("__known", F.col("receiver_type").isNotNull())
+    numbered = with_dense_id(keyed, ["from_sym", "line", "to_sym", "kind", "__receiver", "__known"], "__at", "adjacency")
+    first = numbered.groupBy(F.col("from_sym").alias("__caller")).agg(F.min("__at").alias("__first"))
+    joined = numbered.join(first, F.col("from_sym").eqNullSafe(F.col("__caller")))
+    return joined.select("from_sym", "to_sym", "kind", "line", "receiver_type", (F.col("__at") - F.col("__first") + 1).alias("place"))

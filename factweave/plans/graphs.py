@@ -293,11 +293,7 @@ def f24_node_universe(spark, d):
 
 @book.query("select from_sym, to_sym, kind, line, row_number() over (partition by from_sym order by line, to_sym, kind, coalesce(receiver_type, '')) as place from (select distinct from_sym, to_sym, kind, line, receiver_type from call_edges) qualify place <= 3")
 def f25_adjacency_order(spark, d):
-    from pyspark.sql import Window as W
-
-    e = T(spark, d, "call_edges").select("from_sym", "to_sym", "kind", "line", "receiver_type").distinct()
-    w = W.partitionBy("from_sym").orderBy("line", "to_sym", "kind", F.coalesce("receiver_type", F.lit("")))
-    return e.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").drop("receiver_type")
+    return G.adjacency_places(T(spark, d, "call_edges")).drop("receiver_type")
 
 
 @book.query()

@@ -34,3 +34,13 @@ def test_project_closure_follows_rare_references(spark, tmp_path):
     put(spark, tmp_path, "reference_facts", [{"enclosing_symbol_id": f"M:{a}", "target_symbol_id": f"M:{b}", "target_assembly": b, "ref_kind": "invocation"} for a, b in edges])
     want = sorted((s, n) for s in "ABCD" for n in brute_reach(edges, [s]))
     assert rows(run(spark, "e14_project_closure", tmp_path), "seed", "node") == want
+
+
+def test_adjacency_places_every_edge(spark, tmp_path):
+    edges = [("a", f"c{(7 * i) % 40:02d}", i % 5, "invocation", r) for i in range(40) for r in (None, "T:X")] + [("b", "a", 3, "ctor", None), ("b", "a", 3, "ctor", None)]
+    put(spark, tmp_path, "call_edges", [{"from_sym": f, "to_sym": t, "line": n, "kind": k, "receiver_type": r} for f, t, n, k, r in edges])
+    want = []
+    for caller in "ab":
+        own = sorted({(n, t, k, r or "") for f, t, n, k, r in edges if f == caller})
+        want += [(caller, t, k, n, i) for i, (n, t, k, _) in enumerate(own, 1)]
+    assert rows(run(spark, "f25_adjacency_order", tmp_path), "from_sym", "to_sym", "kind", "line", "place") == sorted(want, key=str)
