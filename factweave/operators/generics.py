@@ -26,29 +26,36 @@ def resolve(tokens: Column, carried: Column) -> Column:
     return F.when(~F.exists(named, lambda x: x.isNull()), named)
 
 
-def instances(edges: DataFrame, per_method: int = PER_METHOD, in_all: int = IN_ALL) -> DataFrame:
+def instances(edges: DataFrame, per_method: int | None = PER_METHOD, in_all: int | None = IN_ALL) -> DataFrame:
     """(method, binding): the concrete bindings (array<string>) that reach each generic method, to a fixed point.
 
     ``edges`` has from_sym, to_sym and binding (JSON tokens; null for calls of methods that aren't generic). Concrete
     calls start; a method's instances pass their types on to the calls it forwards them to. A method with more than
-    ``per_method`` instances loses all of them and passes none on. More than ``in_all`` in all is an error.
+    ``per_method`` instances loses all of them and passes none on. More than ``in_all`` in all is an error. Either is
+    None for no such cap: the loop ends by itself, when no round finds a new instance.
     """
     e = materialize(edges.where("binding is not null").select("from_sym", "to_sym", decode_binding("binding").alias("tokens")).where("size(tokens) > 0").distinct(), "bindings")
     none = F.array().cast("array<string>")
     found = materialize(e.select(F.col("to_sym").alias("method"), resolve(F.col("tokens"), none).alias("binding")).where("binding is not null").distinct(), "instances")
     news = found
     while True:
-        counts = found.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-        open_ = counts.where(F.col("n") <= per_method).select("method")
-        if found.count() > in_all:
+        if in_all is not None and found.count() > in_all:
             raise ValueError(f"more than {in_all} instances")
-        passed = news.join(open_, "method", "left_semi").join(e, F.col("method") == F.col("from_sym")).select(F.col("to_sym").alias("m"), resolve(F.col("tokens"), F.col("binding")).alias("b"))
+        passed = _under(news, found, per_method).join(e, F.col("method") == F.col("from_sym")).select(F.col("to_sym").alias("m"), resolve(F.col("tokens"), F.col("binding")).alias("b"))
         fresh = passed.where("b is not null").select(F.col("m").alias("method"), F.col("b").alias("binding")).distinct()
         new = materialize(fresh.join(found, ["method", "binding"], "left_anti"), "instances")
         if new.isEmpty():
             break
         found, news = materialize(found.unionAll(new), "instances"), new
-    return found.join(counts.where(F.col("n") <= per_method).select("method"), "method", "left_semi")
+    return _under(found, found, per_method)
+
+
+def _under(rows: DataFrame, found: DataFrame, per_method: int | None) -> DataFrame:
+    """Rows of the methods that have at most ``per_method`` instances among those found; all rows without such a cap."""
+    if per_method is None:
+        return rows
+    counts = found.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(counts.where(F.col("n") <= per_method).select("method"), "method", "left_semi")
 
 
 def instance_node(method: str | Column, binding: str | Column) -> Column:

@@ -158,12 +158,12 @@ _BIND = r"""e as (select distinct from_sym, to_sym from call_edges), g as (selec
 
 @book.query(f"with recursive {_BIND} select method, b as binding from i")
 def e15_generic_instances(spark, d):
-    return N.instances(_bindings(spark, d), per_method=10_000).select("method", F.element_at("binding", 1).alias("binding"))
+    return N.instances(_bindings(spark, d), per_method=None, in_all=None).select("method", F.element_at("binding", 1).alias("binding"))
 
 
 @book.query()
 def e16_monomorphized_edges(spark, d):
     e = _bindings(spark, d)
-    return N.monomorphize(e, N.instances(e, per_method=10_000)).select("from_sym", "to_sym").distinct()
+    return N.monomorphize(e, N.instances(e, per_method=None, in_all=None)).select("from_sym", "to_sym").distinct()
 
 

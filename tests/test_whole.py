@@ -44,3 +44,14 @@ def test_adjacency_places_every_edge(spark, tmp_path):
         own = sorted({(n, t, k, r or "") for f, t, n, k, r in edges if f == caller})
         want += [(caller, t, k, n, i) for i, (n, t, k, _) in enumerate(own, 1)]
     assert rows(run(spark, "f25_adjacency_order", tmp_path), "from_sym", "to_sym", "kind", "line", "place") == sorted(want, key=str)
+
+
+def test_generic_instances_beyond_the_caps(spark, tmp_path):
+    # more types than the reference allows in all reach one method, which forwards them
+    n, go, then = 100_001, "M:N.Box`1.Go", "M:N.Box`1.Then"
+    calls = spark.range(n).selectExpr("concat('M:N.T', id, '.Run') as from_sym", f"'{go}' as to_sym")
+    calls.unionAll(spark.createDataFrame([(go, then)], "from_sym string, to_sym string")).write.parquet(f"{tmp_path}/call_edges.parquet")
+    found = run(spark, "e15_generic_instances", tmp_path)
+    assert rows(found.groupBy("method").count(), "method", "count") == [(go, n), (then, n)]
+    edges = run(spark, "e16_monomorphized_edges", tmp_path)
+    assert edges.count() == 2 * n + 1 and edges.where("from_sym = 'M:N.Box`1.Go~mono⟨T7⟩'").first().to_sym == "M:N.Box`1.Then~mono⟨T7⟩"
