@@ -6,6 +6,7 @@ written table. Edges have the columns src and dst.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -149,7 +150,7 @@ def _least_label(links: DataFrame) -> DataFrame:
         news = better
 
 
-def reach_with_payload(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, max_nodes: int | None = None) -> DataFrame:
+def reach_with_payload(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, max_nodes: int | None = None) -> DataFrame:
     """Reach in breadth-first order with what was met on the way.
 
     ``edges`` has from_sym, to_sym, kind, line, receiver_type, loop_kind, loop_detail, handoff_dispatcher and, for
@@ -158,7 +159,7 @@ def reach_with_payload(edges: DataFrame, seeds: DataFrame, max_depth: int = 20,
     loop, loop_nesting grow by one; the nearest loop, the dispatch (only of a fan above one) and the handoff are the
     edge's, else inherited; heuristic sticks. The first arrival at a node wins: by the parent's place in the order,
     real calls before dispatch, then line, callee, kind and receiver. Every level is numbered by a distributed sort.
-    Levels stop being added when ``max_nodes`` are reached.
+    Levels stop being added when ``max_nodes`` are reached; max_depth None is unbounded.
     """
     e = materialize(edges.select("from_sym", "to_sym", "kind", "line", "receiver_type", "loop_kind", "loop_detail", "handoff_dispatcher", "basis", "degree").distinct(), "payload")
     start = seeds.select("node").distinct().select(
@@ -167,7 +168,7 @@ def reach_with_payload(edges: DataFrame, seeds: DataFrame, max_depth: int = 20,
     )
     level = with_dense_id(start, ["node"], "rank", "payload")
     levels, total = [level], level.count()
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         if max_nodes is not None and total >= max_nodes:
             break
         p = levels[-1]

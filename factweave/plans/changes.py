@@ -218,7 +218,7 @@ def i12_dead_code(spark, d):
 def j19_callers(spark, d):
     e = C.edge_list(T(spark, d, "call_edges"))
     subject = R.match_nodes(e.select(F.col("dst").alias("node")).distinct(), "node", "Store.Re")
-    return C.reach(C.reverse(e), subject, 2).withColumn("subject", F.col("depth") == 0).orderBy("depth", "node")
+    return C.reach(C.reverse(e), subject).withColumn("subject", F.col("depth") == 0).orderBy("depth", "node")
 
 
 @book.query(

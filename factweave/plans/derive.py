@@ -219,7 +219,7 @@ def c9_excluded_namespaces(spark, d):
 )
 def j17_reaches(spark, d):
     seeds = R.match_nodes(T(spark, d, "call_edges").select(F.col("from_sym").alias("node")).distinct(), "node", "Controller.Render")
-    m = C.reach(_sync_edges(spark, d), seeds, 4)
+    m = C.reach(_sync_edges(spark, d), seeds)
     return effects(spark, d).join(m, F.col("node") == F.col("enclosing_symbol_id")).groupBy("provider", "operation").agg(F.min("depth").alias("nearest"), F.count(F.lit(1)).alias("sites"))
 
 

@@ -42,7 +42,7 @@ def e1_reach(spark, d):
 
 @book.query(f"with recursive {_E}, r(node, depth) as (select node, 0 from ({_SEEDS}) union select dst, depth + 1 from r join edges on src = node where depth < 4) select node, min(depth)::int as depth from r group by 1")
 def e2_reach_depth(spark, d):
-    return C.reach(_edges(spark, d), _seeds(spark, d), 4)
+    return C.reach(_edges(spark, d), _seeds(spark, d))
 
 
 @book.query(
@@ -100,7 +100,7 @@ def e7_groups_reach_target(spark, d):
 def e9_reverse_depth(spark, d):
     e = _edges(spark, d)
     target = e.where(F.lower("dst").contains("store.save")).select(F.col("dst").alias("node")).distinct()
-    return C.reach(C.reverse(e), target, 3)
+    return C.reach(C.reverse(e), target)
 
 
 @book.query(
@@ -168,7 +168,7 @@ def e14_project_closure(spark, d):
 @book.query()
 def e5_reach_payload(spark, d):
     e = G.gate_handoffs(T(spark, d, "call_edges"), "async_exact").withColumn("basis", F.lit(None).cast("string")).withColumn("degree", F.lit(None).cast("int"))
-    return C.reach_with_payload(e, _seeds(spark, d), max_depth=6)
+    return C.reach_with_payload(e, _seeds(spark, d), max_depth=None)
 
 
 @book.query(

@@ -55,3 +55,18 @@ def test_generic_instances_beyond_the_caps(spark, tmp_path):
     assert rows(found.groupBy("method").count(), "method", "count") == [(go, n), (then, n)]
     edges = run(spark, "e16_monomorphized_edges", tmp_path)
     assert edges.count() == 2 * n + 1 and edges.where("from_sym = 'M:N.Box`1.Go~mono⟨T7⟩'").first().to_sym == "M:N.Box`1.Then~mono⟨T7⟩"
+
+
+def test_reach_goes_to_the_end(spark, tmp_path):
+    # ten calls deep either way, with a cycle at the end
+    down = [("M:Controller.Render", "M:d1")] + [(f"M:d{i}", f"M:d{i + 1}") for i in range(1, 10)] + [("M:d10", "M:d8")]
+    up = [(f"M:u{i + 1}", f"M:u{i}") for i in range(1, 10)] + [("M:u1", "M:Store.Save"), ("M:u1", "M:Store.Read")]
+    put(spark, tmp_path, "call_edges", [{"from_sym": a, "to_sym": b, "kind": "invocation", "line": 1, "non_virtual": False} for a, b in down + up])
+    put(spark, tmp_path, "reference_facts", [{"target_symbol_id": "M:Corvane.Mail.Box.Export", "ref_kind": "invocation", "enclosing_symbol_id": "M:d9", "target_in_source": False, "file_path": "f", "line": 1}])
+    want = sorted(brute_reach(down, ["M:Controller.Render"]).items())
+    assert rows(run(spark, "e2_reach_depth", tmp_path), "node", "depth") == want
+    assert rows(run(spark, "e5_reach_payload", tmp_path), "node", "depth") == want
+    back = [(b, a) for a, b in up]
+    assert rows(run(spark, "e9_reverse_depth", tmp_path), "node", "depth") == sorted(brute_reach(back, ["M:Store.Save"]).items())
+    assert rows(run(spark, "j19_callers", tmp_path), "node", "depth") == sorted(brute_reach(back, ["M:Store.Read"]).items())
+    assert rows(run(spark, "j17_reaches", tmp_path), "provider", "operation", "nearest", "sites") == [("mail", "send", 9, 1)]
