@@ -20,17 +20,20 @@ def set_diff(base: DataFrame, head: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.when(F.col("__h") == 1, "added").otherwise("removed").alias("change"))
 
 
-def body_changes(base: DataFrame, head: DataFrame) -> DataFrame:
+def body_changes(base: DataFrame, head: DataFrame, within: list[str] | None = None) -> DataFrame:
     """(symbol_id): symbols (symbol_id, body_hash) whose hash differs or is on one side only.
 
+    With ``within``, as the solution, a symbol is compared in each by itself, and comes out once if any of them differs.
+
     null and '' are no hash, case means nothing. If a side has no hashes at all, there are no changes: it can't tell.
     """
-    norm = lambda df: df.select("symbol_id", F.nullif(F.lower("body_hash"), F.lit("")).alias("h"))
+    keys = [*(within or []), "symbol_id"]
+    norm = lambda df: df.select(*keys, F.nullif(F.lower("body_hash"), F.lit("")).alias("h"))
     b, h = norm(base), norm(head)
     if b.where("h is not null").isEmpty() or h.where("h is not null").isEmpty():
         return base.sparkSession.createDataFrame([], "symbol_id string")
-    b, h = (x.where("h is not null").groupBy("symbol_id").agg(F.min("h").alias(n)) for x, n in ((b, "b"), (h, "x")))
-    return b.join(h, "symbol_id", "full_outer").where("not (b <=> x)").select("symbol_id")
+    b, h = (x.where("h is not null").groupBy(*keys).agg(F.min("h").alias(n)) for x, n in ((b, "b"), (h, "x")))
+    return b.join(h, keys, "full_outer").where("not (b <=> x)").select("symbol_id").distinct()
 
 
 def footprints(edges: DataFrame, entry_points: DataFrame, effects: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def i14_set_difference(spark, d):
         select coalesce(b.symbol_id, h.symbol_id) as symbol_id from b full join h using (symbol_id) where x is distinct from y"""
 )
 def j10_body_changes(spark, d):
-    return I.body_changes(*_sides(spark, d))
+    return I.body_changes(*_sides(spark, d), ["solution_path"])
 
 
 _E = {"base": "edges as (select distinct from_sym as src, to_sym as dst from call_edges where kind not in ('handoff', 'ctor'))", "head": "edges as (select distinct from_sym as src, to_sym as dst from call_edges)"}
