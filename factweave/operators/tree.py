@@ -19,17 +19,23 @@ def call_tree(edges: DataFrame, root: str, max_depth: int = 20, budget: int = 50
     ``edges`` has from_sym, to_sym, line. Calls of one caller to one callee are one child with their number, in the
     order of their first line. A symbol is expanded where it comes first; later places say already_expanded, nodes at
     max_depth with children depth_capped, and what no longer fits the budget budget_capped, in this order of causes.
-    The executors bound the subgraph by reach; the driver walks at most ``budget`` nodes' children, fetched in bulk.
+    The executors bound the subgraph by reach; the driver fetches children in bulk, nearest callers first, without those
+    of callers that have a budget's worth. Callers whose children it didn't fetch are budget_capped.
     """
     spark = edges.sparkSession
     e = edges.where("from_sym is not null and to_sym is not null")
     seeds = spark.createDataFrame([(root,)], "node string")
-    within = closure.reach(closure.edge_list(e), seeds, max_depth).orderBy("depth", "node").limit(budget).select(F.col("node").alias("from_sym"))
-    merged = e.join(within, "from_sym", "left_semi").groupBy("from_sym", "to_sym").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    within = closure.reach(closure.edge_list(e), seeds, max_depth).select(F.col("node").alias("from_sym"), F.col("depth").alias("at"))
+    pairs = e.groupBy("from_sym", "to_sym").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    # a caller with ``budget`` children can't be expanded
+    fits = pairs.groupBy("from_sym").agg(F.count(F.lit(1)).alias("fan")).where(F.col("fan") < budget).join(within, "from_sym")
     children: dict[str, list[tuple[int, str, int]]] = defaultdict(list)
-    # a budget's worth of callers; each child that can come out at all is among the first ``budget`` of its caller
-    for r in merged.orderBy("from_sym", "line", "to_sym").limit(20 * budget).toLocalIterator():
+    last = None
+    for r in pairs.join(fits, "from_sym").orderBy("at", "from_sym", "line", "to_sym").limit(20 * budget).toLocalIterator():
         children[r.from_sym].append((r.line, r.to_sym, r.n))
+        last = r
+    if last and len(children[last.from_sym]) < last.fan:  # the limit fell within this caller
+        del children[last.from_sym]
     rows, expanded = [], set()
     stack = [(root, None, 0, 1)]
     while stack and len(rows) < budget:
@@ -46,6 +52,11 @@ def call_tree(edges: DataFrame, root: str, max_depth: int = 20, budget: int = 50
             expanded.add(node)
             stack += [(c, node, depth + 1, n) for _, c, n in reversed(below)]
         rows.append((len(rows), depth, node, parent, sites, cause))
+    leaves = [(x,) for x in {r[2] for r in rows} - set(children)]
+    if leaves:
+        called = spark.createDataFrame(leaves, "from_sym string").join(e.select("from_sym"), "from_sym", "left_semi")
+        left = {r.from_sym for r in called.collect()}
+        rows = [(*r[:5], "depth_capped" if r[1] >= max_depth else "budget_capped") if r[2] in left else r for r in rows]
     return spark.createDataFrame(rows, SCHEMA)
 
 
