@@ -36,6 +36,16 @@ def type_descendants(relations: DataFrame, kinds: list[str]) -> DataFrame:
     return closure.reach_each(edges, all_types.select("seed", F.col("seed").alias("node"))).select(F.col("seed").alias("ancestor"), F.col("node").alias("type"), "depth")
 
 
+def receiver_types(relations: DataFrame, bases: DataFrame) -> DataFrame:
+    """(ancestor, type): every type itself, its descendants along base relations (``bases``, as ``type_descendants``
+    gives them), and of an interface the implementing types with their descendants."""
+    r = relations.select(docid.strip_generic("related_symbol_id").alias("ancestor"), docid.strip_generic("type_symbol_id").alias("type"), "relation_kind")
+    own = r.select(F.explode(F.array("ancestor", "type")).alias("ancestor")).select("ancestor", F.col("ancestor").alias("type"))
+    impl = r.where("relation_kind = 'interface'").select("ancestor", "type")
+    below = impl.withColumnRenamed("type", "mid").join(bases.select(F.col("ancestor").alias("mid"), "type"), "mid").select("ancestor", "type")
+    return own.unionAll(bases.select("ancestor", "type")).unionAll(impl).unionAll(below).distinct()
+
+
 def type_closure(relations: DataFrame, roots: list[str], strict: bool = False) -> DataFrame:
     """(type): the types derived from the roots along base relations, the roots themselves unless ``strict``."""
     r = relations.where("relation_kind = 'base'")
@@ -78,22 +88,24 @@ def error_type_recovery(edges: DataFrame, methods: DataFrame) -> DataFrame:
     return wanted.join(m, ["simple", "name", "arity"]).select("src", "dst", F.lit("impl-dispatch").alias("kind")).distinct()
 
 
-def narrow_by_receiver(calls: DataFrame, fans: DataFrame, descendants: DataFrame) -> DataFrame:
+def narrow_by_receiver(calls: DataFrame, fans: DataFrame, descendants: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """Fans narrowed by the receiver's static type: (hub, receiver, dst), computed once per distinct (hub, receiver).
 
     ``calls`` has hub and receiver (a type id or null), ``fans`` hub and dst, ``descendants`` ancestor, type, depth
     (itself at depth 0). A receiver that is unknown, equals the hub's own type, or is no descendant of it, narrows
     nothing. Else the targets within the receiver's subtree stay; if there are none, those of its nearest ancestor
-    that has one; if there are none either, nothing.
+    that has one; if there are none either, nothing. ``bases``, like ``descendants`` but along base relations only, is
+    where ancestors are looked for when ``descendants`` holds implementers too.
     """
     pairs = calls.select("hub", "receiver").distinct().withColumn("own", docid.strip_generic(docid.method_type("hub")))
-    d = descendants.select("ancestor", "type", "depth")
+    d = descendants.select("ancestor", "type")
     useful = pairs.where("receiver is not null and receiver <> own").join(d.select(F.col("ancestor").alias("own"), F.col("type").alias("receiver")), ["own", "receiver"], "left_semi")
     typed = fans.withColumn("type", docid.strip_generic(docid.method_type("dst")))
     full = pairs.join(useful.select("hub", "receiver"), (pairs.hub == useful.hub) & pairs.receiver.eqNullSafe(useful.receiver), "left_anti").join(fans, "hub").select("hub", "receiver", "dst")
     within = useful.select("hub", "receiver").join(typed, "hub").join(d.select(F.col("ancestor").alias("receiver"), "type"), ["receiver", "type"], "left_semi").select("hub", "receiver", "dst")
     none = useful.select("hub", "receiver").join(within, ["hub", "receiver"], "left_anti")
-    up = none.join(typed, "hub").join(d.select(F.col("ancestor").alias("type"), F.col("type").alias("receiver"), "depth"), ["receiver", "type"])
+    line = descendants if bases is None else bases
+    up = none.join(typed, "hub").join(line.select(F.col("ancestor").alias("type"), F.col("type").alias("receiver"), "depth"), ["receiver", "type"])
     nearest = up.groupBy("hub", "receiver").agg(F.min("depth").alias("depth"))
     above = up.join(nearest, ["hub", "receiver", "depth"]).select("hub", "receiver", "dst")
     return full.unionAll(within).unionAll(above).distinct()

@@ -299,10 +299,10 @@ def f25_adjacency_order(spark, d):
 @book.query()
 def f14_narrowed_fans(spark, d):
     relations = P.type_relations(spark, d)
-    fans = D.mined(P.dispatch_facts(spark, d).where("kind = 'override'")).select(F.col("src").alias("hub"), "dst")
-    subtree = D.type_descendants(relations, ["base"])
+    fans = D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")).select(F.col("src").alias("hub"), "dst").distinct()
+    bases = D.type_descendants(relations, ["base"])
     calls = fans.join(P.methods(spark, d).select(F.col("symbol_id").alias("dst"), "type"), "dst").select("hub", docid.strip_generic("type").alias("receiver"))
-    return D.narrow_by_receiver(calls, fans, subtree)
+    return D.narrow_by_receiver(calls, fans, D.receiver_types(relations, bases), bases)
 
 
 @book.query(
@@ -311,7 +311,7 @@ def f14_narrowed_fans(spark, d):
         select from_sym as src, to_sym as dst, null as via from real_ union select from_sym, dst, to_sym from real_ join o on src = to_sym where not non_virtual and src <> dst"""
 )
 def f19_one_hop(spark, d):
-    return D.one_hop(T(spark, d, "call_edges"), D.mined(P.dispatch_facts(spark, d).where("kind in ('override')")))
+    return D.one_hop(T(spark, d, "call_edges"), D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")))
 
 
 @book.query(
@@ -320,8 +320,10 @@ def f19_one_hop(spark, d):
         select hub, fan, count(*) as edges, fan * count(*) as weight from f join call_edges on to_sym = hub group by 1, 2"""
 )
 def e18_dispatch_fans(spark, d):
-    fans = D.mined(P.dispatch_facts(spark, d).where("kind in ('override')")).select(F.col("src").alias("hub"), "dst")
+    fans = D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")).select(F.col("src").alias("hub"), "dst").distinct()
     calls = T(spark, d, "call_edges").select(F.col("to_sym").alias("hub"), docid.receiver_type_id("receiver_type").alias("receiver"))
     # receivers of these tables lie outside of the hubs' hierarchies, so they narrow nothing
-    narrowed = D.narrow_by_receiver(calls, fans, D.type_descendants(P.type_relations(spark, d), ["base"]))
+    relations = P.type_relations(spark, d)
+    bases = D.type_descendants(relations, ["base"])
+    narrowed = D.narrow_by_receiver(calls, fans, D.receiver_types(relations, bases), bases)
     return D.fan_report(calls, fans, narrowed).select("hub", "fan", "edges", "weight")

@@ -99,7 +99,7 @@ def f15_narrow_or_keep(spark, d):
         select dst as node, count(distinct src) as hubs from o where src <> dst group by 1"""
 )
 def f22_reverse_dispatch(spark, d):
-    return D.mined(P.dispatch_facts(spark, d).where("kind = 'override'")).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("hubs"))
+    return D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("hubs"))
 
 
 @book.query()

@@ -1,6 +1,7 @@
 """Registered queries that have to do the whole job, on made tables against brute force."""
 
 import __spark_entry__ as entry
+from factweave.operators import dispatch as D
 from factweave.sources.tables import SCHEMAS
 
 
@@ -70,3 +71,26 @@ def test_reach_goes_to_the_end(spark, tmp_path):
     assert rows(run(spark, "e9_reverse_depth", tmp_path), "node", "depth") == sorted(brute_reach(back, ["M:Store.Save"]).items())
     assert rows(run(spark, "j19_callers", tmp_path), "node", "depth") == sorted(brute_reach(back, ["M:Store.Read"]).items())
     assert rows(run(spark, "j17_reaches", tmp_path), "provider", "operation", "nearest", "sites") == [("mail", "send", 9, 1)]
+
+
+def test_dispatch_through_interfaces(spark, tmp_path):
+    # by the projection: B derives from A, A and B implement I, I derives from A
+    kinds = {"A": "class", "B": "class", "I": "interface"}
+    put(spark, tmp_path, "symbol_facts", [{"symbol_id": f"T:{x}", "kind": "type", "type_kind": k, "modifiers": ""} for x, k in kinds.items()] + [{"symbol_id": f"M:{x}.Go", "kind": "method", "containing_symbol_id": f"T:{x}", "modifiers": "", "is_override": False} for x in kinds])
+    put(spark, tmp_path, "reference_facts", [])
+    put(spark, tmp_path, "call_edges", [{"from_sym": f"M:x{i}", "to_sym": "M:I.Go", "kind": "invocation", "line": i, "non_virtual": False} for i in range(3)])
+    assert rows(run(spark, "f22_reverse_dispatch", tmp_path), "node", "hubs") == [("M:A.Go", 1), ("M:B.Go", 2), ("M:I.Go", 1)]
+    hops = rows(run(spark, "f19_one_hop", tmp_path), "src", "dst", "via")
+    assert len(hops) == 9 and ("M:x0", "M:A.Go", "M:I.Go") in hops and ("M:x0", "M:B.Go", "M:I.Go") in hops
+    assert rows(run(spark, "e18_dispatch_fans", tmp_path), "hub", "fan", "edges", "weight") == [("M:I.Go", 2, 3, 6)]
+    fans = rows(run(spark, "f14_narrowed_fans", tmp_path), "hub", "receiver", "dst")
+    assert [x for x in fans if x[:2] == ("M:I.Go", "T:B")] == [("M:I.Go", "T:B", "M:B.Go")]
+
+
+def test_nearest_ancestor_is_a_base(spark):
+    rel = spark.createDataFrame([("T:Base", "T:Root", "base"), ("T:Mid", "T:Base", "base"), ("T:C", "T:Mid", "base"), ("T:J", "T:Root", "base"), ("T:C", "T:J", "interface")], "type_symbol_id string, related_symbol_id string, relation_kind string")
+    fans = spark.createDataFrame([("M:Root.Go", "M:Base.Go"), ("M:Root.Go", "M:J.Go")], "hub string, dst string")
+    calls = spark.createDataFrame([("M:Root.Go", "T:C")], "hub string, receiver string")
+    bases = D.type_descendants(rel, ["base"])
+    got = D.narrow_by_receiver(calls, fans, D.receiver_types(rel, bases), bases)
+    assert rows(got, "dst") == [("M:Base.Go",)]
