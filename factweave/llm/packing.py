@@ -10,6 +10,8 @@ among the texts of their size.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.runtime import materialize, with_dense_id
+from factweave.runtime import materialize, release, with_dense_id
 
 #: A filling: (sizes from the largest down, how many containers get it).
 Filling = tuple[tuple[int, ...], int]
@@ -54,8 +56,9 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return done + [(tuple(s), n) for r in room_left for s, n in open_bins[r]]
 
 
-def _completions(sizes: list[int], counts: dict[int, int], room: int, want: int, steps: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: depth-first over the sizes from the largest down.
+def _completions(sizes: list[int], counts: dict[int, int], room: int, want: float, steps: float) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, fullest first: depth-first over the sizes from the largest down. All of them
+    where ``want`` and ``steps`` are infinite.
 
     A filling is dominated when a size left over fits and could be added, or when one of its sizes could be
     swapped for a larger one left over that still fits.
@@ -93,7 +96,7 @@ def _completions(sizes: list[int], counts: dict[int, int], room: int, want: int,
                 found.append((left, tuple(chosen)))
                 least_waste[0] = min(least_waste[0], left)
             return
-        if left - reach[i] > least_waste[0] and found:  # even all of them leave more waste than the best so far
+        if want != math.inf and left - reach[i] > least_waste[0] and found:  # even all of them leave more waste than the best so far
             return
         size = usable[i]
         most = min(counts[size], left // size)
@@ -106,21 +109,23 @@ def _completions(sizes: list[int], counts: dict[int, int], room: int, want: int,
 
     if not usable:
         return [()]
-    import sys
-
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * len(usable) + 1000))
     go(0, room)
     found.sort(key=lambda x: x[0])
-    return [f for _, f in found[:want]] or [()]
+    return [f for _, f in (found if want == math.inf else found[:want])] or [()]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, nodes: int = 200, steps: int = 4000) -> list[Filling]:
+def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, nodes: int = 200, steps: int = 4000, exact: bool = False) -> list[Filling]:
     """Fillings that use every item once, in as few containers as the search finds.
 
     Sizes must be in 1..capacity. ``branches`` completions are tried per container, ``nodes`` complete packings'
-    worth of descents in all and ``steps`` steps per enumeration; within these the search is branch and bound,
-    beyond them the best packing found so far stands (never worse than best fit).
+    worth of descents in all and ``steps`` steps per enumeration, and a completion is used as often as the counts
+    allow; within these the search is branch and bound, beyond them the best packing found so far stands (never worse
+    than best fit). ``exact`` knows none of these bounds: every undominated completion is tried one container at a
+    time, so the packing has the fewest containers there can be, in time exponential in the number of items.
     """
+    if exact:
+        branches = nodes = steps = math.inf
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
         return []
@@ -152,19 +157,19 @@ def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, nod
                 counts[largest] += 1
                 for other in options[:0:-1]:
                     if len(stack) < 4 * nodes:
-                        stack.append(_apply(counts, plan, used, waste, (largest, *other), capacity))
-                counts, plan, used, waste = _apply(counts, plan, used, waste, (largest, *options[0]), capacity)
+                        stack.append(_apply(counts, plan, used, waste, (largest, *other), capacity, exact))
+                counts, plan, used, waste = _apply(counts, plan, used, waste, (largest, *options[0]), capacity, exact)
             state["descents"] += 1
 
     descend(counts, [], 0, 0)
     return state["plan"]
 
 
-def _apply(counts: dict[int, int], plan: list[Filling], used: int, waste: int, filling: tuple[int, ...], capacity: int):
+def _apply(counts: dict[int, int], plan: list[Filling], used: int, waste: int, filling: tuple[int, ...], capacity: int, once: bool):
     need: dict[int, int] = {}
     for s in filling:
         need[s] = need.get(s, 0) + 1
-    n = min(counts[s] // k for s, k in need.items())
+    n = 1 if once else min(counts[s] // k for s, k in need.items())
     counts = dict(counts)
     for s, k in need.items():
         counts[s] -= n * k
@@ -201,12 +206,14 @@ def pack(sizes: DataFrame, key: str, n_tokens: str, windows: list[tuple[int, int
     result = f"window_id int, container_id long, `{key}` {kind}, piece int, start_token int, n_tokens int"
     if not windows:
         return spark.createDataFrame([], result)
-    one = sizes.where(f"`{n_tokens}` > 0").select(F.col(key).alias("k"), F.col(n_tokens).alias("n"))
+    # measured once: the sort below reads its input twice
+    one = materialize(sizes.where(f"`{n_tokens}` > 0").select(F.col(key).alias("k"), F.col(n_tokens).alias("n")), "sizes")
     caps = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")) for w, c in windows])
     per = one.select("k", "n", F.explode(caps).alias("x")).select("k", "n", "x.w", "x.c")
     cut = F.expr("transform(sequence(0, (n - 1) div c), i -> struct(cast(i as int) as piece, cast(i * c as int) as at, cast(least(c, n - i * c) as int) as size))")
     pieces = per.select("w", "k", F.explode(cut).alias("p")).select("w", "k", "p.piece", "p.at", "p.size")
     numbered = with_dense_id(pieces, ["w", "size", "k", "piece"], "nth", "pieces")
+    release(one)
     histogram = {(r.w, r.size): (r.n, r.least) for r in numbered.groupBy("w", "size").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("least")).collect()}
     segments = {}
     for w, c in windows:

@@ -49,6 +49,40 @@ def test_search_beats_best_fit():
     assert used(B.bin_completion(counts, 100)) == counts
 
 
+def fewest(items, capacity):
+    """Containers of the best packing, by trying every place for every item."""
+    best = [len(items)]
+    items = sorted(items, reverse=True)
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for j, room in enumerate(rooms):
+            if room >= items[i] and room not in rooms[:j]:
+                go(i + 1, [*rooms[:j], room - items[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_exact_search_finds_the_fewest():
+    rng, gained, beaten = random.Random(5), 0, 0
+    for _ in range(150):
+        capacity = rng.choice([10, 20, 50, 100])
+        items = [rng.randint(max(1, capacity // 6), capacity * 2 // 3) for _ in range(rng.randint(1, 11))]
+        plan = B.bin_completion(Counter(items), capacity, exact=True)
+        n = sum(k for _, k in plan)
+        assert used(plan) == Counter(items) and all(sum(f) <= capacity for f, _ in plan)
+        assert n == fewest(items, capacity), (items, capacity)
+        gained += sum(k for _, k in B.best_fit(Counter(items), capacity)) - n
+        beaten += sum(k for _, k in B.bin_completion(Counter(items), capacity)) - n
+    assert gained > 0 and beaten >= 0
+
+
 def test_edges():
     assert B.bin_completion({}, 10) == [] and B.bin_completion({5: 0}, 10) == []
     assert B.bin_completion({10: 3}, 10) == [((10,), 3)]
