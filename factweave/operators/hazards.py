@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import docid
 from factweave.operators import closure
 
-# System classes of providers whose writes should not be split over one method.
-SYSTEM_CLASSES = {"db": "database", "queue": "messaging", "http": "remote", "cache": "cache", "mail": "mail"}
+# The durable system that a write commits to, by provider:operation, or by provider where all it does writes.
+SYSTEM_CLASSES = {
+    "db_command:execute": "db", "efcore:commit": "db", "efcore:pending_write": "db", "efcore:raw_sql": "db", "repository:write": "db",
+    "yessql:write": "db", "yessql:delete": "db", "llblgen:write": "db", "llblgen:delete": "db", "llblgen:tx_commit": "db",
+    "rabbitmq:publish": "queue", "mediatr:publish": "queue", "actor:tell": "queue", "actor:ask": "queue", "echo_publish": "queue", "eventbus": "queue", "queue": "queue",
+    "elasticsearch:write": "search", "elasticsearch:delete": "search", "elasticsearch:index_write": "search", "elasticsearch:index_delete": "search",
+    "azure_search:write": "search", "azure_search:delete": "search", "azure_search:index_write": "search", "azure_search:index_delete": "search",
+    "redis:write": "cache", "redis:delete": "cache", "inproc_cache:write": "cache", "inproc_cache:delete": "cache", "entity_cache:write": "cache",
+    "http:POST": "http", "http:PUT": "http", "http:PATCH": "http", "http:DELETE": "http", "soap:invoke": "http", "soap:submit": "http",
+    "aws_s3:write": "blob", "aws_s3:delete": "blob", "azure_blob:write": "blob", "azure_blob:delete": "blob",
+    "object_store:write": "object_store", "smtp:send": "email",
+}
+# Names of cells that are set once.
+INIT_CELLS = ["instance", "initialised", "initialized"]
 
 
 def race_windows(reads: DataFrame, writes: DataFrame, transactions: DataFrame | None = None) -> DataFrame:
@@ -34,41 +46,53 @@ def race_windows(reads: DataFrame, writes: DataFrame, transactions: DataFrame |
 
 def lazy_init_races(races: DataFrame, writes: DataFrame, locked: DataFrame, volatile: DataFrame, thread_static: DataFrame) -> DataFrame:
     """Race windows with ``hazard``: thread_local_context for per-thread cells, lazy_init_race for initialisation,
-    race_window for the rest.
+    race_window for the rest; the first two have low confidence.
 
-    Initialisation is a method named so, or the only write of a cell named so. ``tier`` is 'locked' where the write
-    lies under a lock (enclosing_symbol_id, line), else 'open'. A locked initialisation of a volatile cell (cell) that
-    is the method's last locked line is the safe pattern and no hazard.
+    Initialisation is a getter (get_), a constructor, or a method with Init in its name, in any case; or the only write
+    of the cell in its method, of a cell named as one of INIT_CELLS but for leading underscores, in any case. ``tier`` is
+    'locked' where an initialising write lies under a lock (``locked``: enclosing_symbol_id, line), else 'open'. A locked
+    initialisation of a volatile cell (cell) that no locked line of its method follows is the safe pattern and no hazard.
     """
-    init = r"(?i)(^|[._])(init|ensure|getorcreate|create|lazy|instance|load|build)"
-    n = writes.groupBy("cell").agg(F.count(F.lit(1)).alias("n_writes"))
+    n = writes.groupBy("enclosing_symbol_id", "cell").agg(F.count(F.lit(1)).alias("n_writes"))
     held = locked.groupBy("enclosing_symbol_id").agg(F.max("line").alias("last_held"))
     at = locked.select("enclosing_symbol_id", F.col("line").alias("write_line"), F.lit(True).alias("__locked")).distinct()
     x = (
-        races.join(n, "cell", "left").join(at, ["enclosing_symbol_id", "write_line"], "left").join(held, "enclosing_symbol_id", "left")
+        races.join(n, ["enclosing_symbol_id", "cell"], "left").join(at, ["enclosing_symbol_id", "write_line"], "left").join(held, "enclosing_symbol_id", "left")
         .join(volatile.select("cell", F.lit(True).alias("__volatile")).distinct(), "cell", "left")
         .join(thread_static.select("cell", F.lit(True).alias("__own")).distinct(), "cell", "left")
     )
-    named = docid.method_name("enclosing_symbol_id").rlike(init) | ((F.col("n_writes") == 1) & F.substring_index("cell", ".", -1).rlike(init))
-    hazard = F.when(F.col("__own"), "thread_local_context").when(F.coalesce(named, F.lit(False)), "lazy_init_race").otherwise("race_window")
-    y = x.withColumn("hazard", hazard).withColumn("tier", F.when(F.col("__locked"), "locked").otherwise("open"))
-    safe = (F.col("hazard") == "lazy_init_race") & F.col("__locked") & F.col("__volatile") & (F.col("write_line") == F.col("last_held"))
-    return y.where(~F.coalesce(safe, F.lit(False))).select(*races.columns, "hazard", "tier")
+    name = docid.simple_member_name("enclosing_symbol_id")
+    cell = F.lower(F.regexp_replace(docid.simple_member_name("cell"), "^_+", ""))
+    init = name.startswith("get_") | name.isin("#ctor", "#cctor") | F.lower(name).contains("init") | ((F.coalesce("n_writes", F.lit(1)) == 1) & cell.isin(INIT_CELLS))
+    hazard = F.when(F.col("__own"), "thread_local_context").when(F.coalesce(init, F.lit(False)), "lazy_init_race").otherwise("race_window")
+    lazy = F.col("hazard") == "lazy_init_race"
+    y = x.withColumn("hazard", hazard).withColumn("tier", F.when(lazy & F.col("__locked"), "locked").otherwise("open"))
+    safe = lazy & F.col("__locked") & F.col("__volatile") & (F.col("write_line") >= F.col("last_held"))
+    return y.where(~F.coalesce(safe, F.lit(False))).withColumn("confidence", F.when(F.col("hazard") == "race_window", F.col("confidence")).otherwise("low")).select(*races.columns, "hazard", "tier")
 
 
-def dual_writes(effects: DataFrame, classes: dict[str, str] = SYSTEM_CLASSES, writes: list[str] | None = None) -> DataFrame:
-    """(enclosing_symbol_id, context, last_line, last_provider): methods that write to two or more systems.
+def system_class(classes: dict[str, str]) -> Column:
+    """The class of an effect (provider, operation): that of provider:operation, else that of the provider; null for none."""
+    precise = F.create_map(*[F.lit(x) for kv in classes.items() for x in kv])
+    return F.coalesce(precise[F.concat_ws(":", "provider", "operation")], precise[F.col("provider")])
 
-    context joins the distinct system classes in order; the finding lies at the last write by line, the first by
-    provider among equals. ``writes`` limits the operations that count. Only class names are gathered per method, and
-    there are as many as ``classes`` has.
+
+def dual_writes(effects: DataFrame, classes: dict[str, str] = SYSTEM_CLASSES) -> DataFrame:
+    """(enclosing_symbol_id, context, sites, last_line, last_provider): methods that write to two or more systems.
+
+    Only what ``classes`` lists counts: writes, never reads. context joins the distinct systems in order; the finding
+    lies at the last write by line, the first by provider among equals; sites counts the writes, which
+    ``dual_write_sites`` gives one by one. Only class names are gathered per method, as many as there are systems.
     """
-    cls = F.coalesce(*[F.when(F.col("provider") == p, c) for p, c in classes.items()])
-    e = effects.withColumn("__c", cls).where("__c is not null and enclosing_symbol_id is not null")
-    if writes is not None:
-        e = e.where(F.col("operation").isin(writes))
-    g = e.groupBy("enclosing_symbol_id").agg(F.array_sort(F.collect_set("__c")).alias("c"), F.min(F.struct((-F.col("line")).alias("n"), "provider")).alias("last"))
-    return g.where(F.size("c") > 1).select("enclosing_symbol_id", F.array_join("c", "+").alias("context"), (-F.col("last.n")).alias("last_line"), F.col("last.provider").alias("last_provider"))
+    e = effects.withColumn("__c", system_class(classes)).where("__c is not null and enclosing_symbol_id is not null")
+    g = e.groupBy("enclosing_symbol_id").agg(F.array_sort(F.collect_set("__c")).alias("c"), F.count(F.lit(1)).alias("sites"), F.min(F.struct((-F.col("line")).alias("n"), "provider")).alias("last"))
+    return g.where(F.size("c") > 1).select("enclosing_symbol_id", F.array_join("c", "+").alias("context"), "sites", (-F.col("last.n")).alias("last_line"), F.col("last.provider").alias("last_provider"))
+
+
+def dual_write_sites(effects: DataFrame, classes: dict[str, str] = SYSTEM_CLASSES) -> DataFrame:
+    """(enclosing_symbol_id, system, provider, operation, file_path, line): every write of the ``dual_writes`` methods."""
+    own = effects.withColumn("system", system_class(classes)).where("system is not null and enclosing_symbol_id is not null")
+    return own.join(dual_writes(effects, classes).select("enclosing_symbol_id"), "enclosing_symbol_id", "left_semi").select("enclosing_symbol_id", "system", "provider", "operation", "file_path", "line")
 
 
 def sync_over_async(effects: DataFrame, methods: DataFrame) -> DataFrame:

@@ -78,16 +78,21 @@ def body_edits_in_reach(base: DataFrame, head: DataFrame, changed: DataFrame) ->
     return shared.join(changed.select(F.col("symbol_id").alias("node")), "node", "left_semi").select("entry", "node")
 
 
-def structural_cause(diff: DataFrame) -> DataFrame:
-    """(entry, cause, stems) of ``reach_diff`` rows: record_shape where most changed stems look like data (properties'
-    accessors, Equals, GetHashCode, deconstruction, copy), constructor where a constructor's signature changed,
-    in_place where nothing but edits is there, else other."""
-    member = F.substring_index("stem", ".", -1)
-    data = member.rlike(r"^(get_|set_|init_)|^(Equals|GetHashCode|ToString|Deconstruct|PrintMembers|op_Equality|op_Inequality|<Clone>\$)$")
-    ctor = (member == "#ctor") & (F.col("kind") == "signature")
-    g = diff.groupBy("entry").agg(F.count(F.lit(1)).alias("stems"), F.sum(data.cast("int")).alias("d"), F.max(ctor).alias("c"), F.max((F.col("kind") != "in_place")).alias("moved"))
-    cause = F.when(F.col("d") >= RECORD_SHARE * F.col("stems"), "record_shape").when(F.col("c"), "constructor").when(~F.col("moved"), "in_place").otherwise("other")
-    return g.select("entry", cause.alias("cause"), "stems")
+def structural_cause(diff: DataFrame, in_place: DataFrame | None = None) -> DataFrame:
+    """(entry, cause, stems) of ``reach_diff`` rows and of entry points with edits in place (``in_place``: entry).
+
+    constructor where all changed stems are constructors; else record_shape where at least RECORD_SHARE of them look
+    like data (``R:`` nodes, getters, setters, constructors), else other; in_place where edited bodies are all there is.
+    """
+    ctor = F.col("stem").endswith(".#ctor")
+    data = F.col("stem").startswith("R:") | F.col("stem").contains(".get_") | F.col("stem").contains(".set_") | ctor
+    g = diff.groupBy("entry").agg(F.count(F.lit(1)).alias("stems"), F.sum(data.cast("int")).alias("d"), F.sum(ctor.cast("int")).alias("c"))
+    cause = F.when(F.col("c") == F.col("stems"), "constructor").when(F.col("d") >= RECORD_SHARE * F.col("stems"), "record_shape").otherwise("other")
+    moved = g.select("entry", cause.alias("cause"), "stems")
+    if in_place is None:
+        return moved
+    only = in_place.select("entry").distinct().join(moved, "entry", "left_anti")
+    return moved.unionAll(only.select("entry", F.lit("in_place"), F.lit(0).cast("long")))
 
 
 def guard_delta(diff: DataFrame, head: DataFrame, locks: list[str] = ("lock", "async_lock"), mutation: str = "shared_state:mutate") -> DataFrame:

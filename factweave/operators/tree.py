@@ -111,23 +111,28 @@ def effect_groups(effects: DataFrame) -> DataFrame:
     return held.unionByName(counted.select("enclosing_symbol_id", F.when(F.col("n") > 1, F.concat("l", F.lit(" ×"), F.col("n").cast("string"))).otherwise(F.col("l")).alias("label")))
 
 
-def dead_code(edges: DataFrame, methods: DataFrame, roots: DataFrame, visible_are_roots: bool = True) -> DataFrame:
-    """(symbol_id, tier, callers, file_path, line): methods that no root reaches.
-
-    ``methods`` has symbol_id, modifiers, file_path, line. Tier 1: private and uncalled; 2: uncalled; 3: called by dead
-    code only. Constructors, accessors, operators, abstract members and overrides are never candidates; externally
-    visible members are roots unless told otherwise.
+def dead_code(edges: DataFrame, methods: DataFrame, roots: DataFrame, visible_are_roots: bool = True, dispatch_members: bool = False) -> DataFrame:
+    """(symbol_id, tier, reason, callers, file_path, line): methods that no root reaches.
+
+    ``edges`` has src and dst, one row per call, ``methods`` symbol_id, name, modifiers, is_override, file_path, line. The
+    tier goes by visibility: private high, public or protected low, else medium; reason says whether the method is
+    uncalled or called by dead code only, callers counts its calls. Constructors, finalizers, accessors, operators,
+    abstract and generated members are never candidates, virtual ones and overrides only with ``dispatch_members``;
+    externally visible members are roots unless told otherwise. Of a method delivered more than once its least row counts.
     """
-    token = lambda t: F.array_contains(F.split("modifiers", r"\s+"), t)
-    name = docid.method_name("symbol_id")
-    skip = name.rlike(r"^(#c?ctor|get_.*|set_.*|add_.*|remove_.*|op_.*|Finalize)$") | token("abstract") | token("override") | F.col("symbol_id").contains("~λ")
-    visible = token("public") | token("protected")
+    token = lambda t: F.array_contains(F.split(F.coalesce("modifiers", F.lit("")), " "), t)
+    name = F.coalesce("name", F.lit(""))
+    skip = name.isin(".ctor", ".cctor", "Finalize") | name.rlike("^(get_|set_|add_|remove_|op_)") | token("abstract") | F.coalesce(docid.is_generated_path("file_path"), F.lit(False))
+    if not dispatch_members:
+        skip = skip | F.coalesce("is_override", F.lit(False)) | token("virtual")
     starts = roots.select("node")
     if visible_are_roots:
-        starts = starts.unionAll(methods.where(visible).select(F.col("symbol_id").alias("node")))
+        starts = starts.unionAll(methods.where(token("public") | token("protected")).select(F.col("symbol_id").alias("node")))
     alive = closure.reach(edges, starts.distinct()).select(F.col("node").alias("symbol_id"))
-    callers = edges.groupBy(F.col("dst").alias("symbol_id")).agg(F.countDistinct("src").alias("callers"))
-    m = methods.where(~F.coalesce(skip, F.lit(False))).groupBy("symbol_id").agg(F.min(F.struct("file_path", "line", "modifiers")).alias("m")).select("symbol_id", "m.*")
+    callers = edges.groupBy(F.col("dst").alias("symbol_id")).agg(F.count(F.lit(1)).alias("callers"))
+    least = F.min(F.struct("file_path", "line", "modifiers", "name", "is_override")).alias("m")
+    m = methods.groupBy("symbol_id").agg(least).select("symbol_id", "m.*").where(~skip)
     dead = m.join(alive, "symbol_id", "left_anti").join(callers, "symbol_id", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
-    tier = F.when((F.col("callers") == 0) & token("private"), 1).when(F.col("callers") == 0, 2).otherwise(3)
-    return dead.select("symbol_id", tier.alias("tier"), "callers", "file_path", "line")
+    tier = F.when(token("private"), "high").when(token("public") | token("protected"), "low").otherwise("medium")
+    reason = F.when(F.col("callers") == 0, "uncalled").otherwise("only reached by dead code")
+    return dead.select("symbol_id", tier.alias("tier"), reason.alias("reason"), "callers", "file_path", "line")

@@ -45,8 +45,8 @@ def i14_set_difference(spark, d):
 
 
 @book.query(
-    f"""with {_SIDES}, b as (select symbol_id, min(body_hash) as x from base where body_hash is not null group by 1), h as (select symbol_id, min(body_hash) as y from head where body_hash is not null group by 1)
-        select coalesce(b.symbol_id, h.symbol_id) as symbol_id from b full join h using (symbol_id) where x is distinct from y"""
+    f"""with {_SIDES}, b as (select solution_path, symbol_id, min(body_hash) as x from base where body_hash is not null group by 1, 2), h as (select solution_path, symbol_id, min(body_hash) as y from head where body_hash is not null group by 1, 2)
+        select distinct coalesce(b.symbol_id, h.symbol_id) as symbol_id from b full join h on b.solution_path is not distinct from h.solution_path and b.symbol_id = h.symbol_id where x is distinct from y"""
 )
 def j10_body_changes(spark, d):
     return I.body_changes(*_sides(spark, d), ["solution_path"])
@@ -81,19 +81,30 @@ def j9_reach_diff(spark, d):
     return I.reach_diff(*_reach_sides(spark, d))
 
 
+_EDITS = """ch as (select distinct coalesce(b.symbol_id, h.symbol_id) as node from (select solution_path, symbol_id, min(body_hash) as x from base where body_hash is not null group by 1, 2) b
+    full join (select solution_path, symbol_id, min(body_hash) as y from head where body_hash is not null group by 1, 2) h on b.solution_path = h.solution_path and b.symbol_id = h.symbol_id where x is distinct from y),
+    edited as (select entry, node from rb where (entry, node) in (select entry, node from rh) and node in (select node from ch))"""
+_ACCESSED = """ac as (select distinct enclosing_symbol_id as node, 'R:' || target_symbol_id as r from reference_facts where ref_kind in ('read', 'write') and target_in_source and target_symbol_id is not null),
+    ab as (select entry, node from rb union select entry, r from rb join ac using (node)), ah as (select entry, node from rh union select entry, r from rh join ac using (node))"""
+
+
 @book.query(
-    f"""with recursive {_REACH}, d as (select entry, count(distinct {_FREE.format(c='node')}) as stems from (select * from rh except select * from rb) group by 1) select entry, 'other' as cause, stems from d"""
+    f"""with recursive {_REACH}, {_SIDES}, {_EDITS}, {_ACCESSED}, m as (select distinct entry, {_FREE.format(c='node')} as stem from (select * from ah except select * from ab)
+          union select distinct entry, {_FREE.format(c='node')} from (select * from ab except select * from ah)),
+        g as (select entry, count(*) as stems, count(*) filter (ends_with(stem, '.#ctor')) as c, count(*) filter (starts_with(stem, 'R:') or contains(stem, '.get_') or contains(stem, '.set_') or ends_with(stem, '.#ctor')) as s from m group by 1)
+        select entry, case when c = stems then 'constructor' when s >= 0.8 * stems then 'record_shape' else 'other' end as cause, stems from g
+        union all select distinct entry, 'in_place', 0 from edited where entry not in (select entry from g)"""
 )
 def j11_structural_cause(spark, d):
-    return I.structural_cause(I.reach_diff(*_reach_sides(spark, d)))
+    base, head = _reach_sides(spark, d)
+    refs = T(spark, d, "reference_facts")
+    diff = I.reach_diff(I.with_field_access(base, refs), I.with_field_access(head, refs))
+    return I.structural_cause(diff, I.body_edits_in_reach(base, head, I.body_changes(*_sides(spark, d), ["solution_path"])))
 
 
-@book.query(
-    f"""with recursive {_REACH}, x as (select distinct symbol_id from symbol_facts where is_override) select entry, node from rb where (entry, node) in (select entry, node from rh) and node in (select symbol_id from x)"""
-)
+@book.query(f"with recursive {_REACH}, {_SIDES}, {_EDITS} select entry, node from edited")
 def i15_edits_in_reach(spark, d):
-    changed = T(spark, d, "symbol_facts").where("is_override").select("symbol_id").distinct()
-    return I.body_edits_in_reach(*_reach_sides(spark, d), changed)
+    return I.body_edits_in_reach(*_reach_sides(spark, d), I.body_changes(*_sides(spark, d), ["solution_path"]))
 
 
 _FOOT = f"""{EFFECTS_SQL}, ee as (select enclosing_symbol_id as node, provider, operation, resource, bool_or(enclosing_loop_kind is not null) as in_loop from effects group by 1, 2, 3, 4),
@@ -197,23 +208,29 @@ def j21_effect_summary(spark, d):
     return effects(spark, d).join(base.select(F.col("node").alias("enclosing_symbol_id")).distinct(), "enclosing_symbol_id", "left_semi").groupBy("provider", "operation").agg(F.count(F.lit(1)).alias("sites"))
 
 
+_HAS = "list_contains(string_split(coalesce(modifiers, ''), ' '), '{t}')"
+
+
 @book.query(
-    """with recursive edges as (select distinct from_sym as src, to_sym as dst from call_edges), m as (select symbol_id, min((file_path, line, modifiers)) as m from symbol_facts
-         where kind = 'method' and not contains(symbol_id, '~λ') and not regexp_matches(regexp_extract(split_part(symbol_id, '(', 1), '[^.]*$'), '^(#c?ctor|get_.*|set_.*|add_.*|remove_.*|op_.*|Finalize)$')
-         and not list_contains(string_split(modifiers, ' '), 'abstract') and not list_contains(string_split(modifiers, ' '), 'override') group by 1),
-       alive(node) as (select distinct symbol_id from symbol_facts where kind = 'method' and (list_contains(string_split(modifiers, ' '), 'public') or list_contains(string_split(modifiers, ' '), 'protected')) union select dst from alive join edges on src = node),
-       c as (select dst, count(distinct src) as callers from edges group by 1)
-       select symbol_id, case when coalesce(callers, 0) > 0 then 3 when list_contains(string_split(struct_extract(m, 3), ' '), 'private') then 1 else 2 end as tier, coalesce(callers, 0) as callers, struct_extract(m, 1) as file_path, struct_extract(m, 2) as line
-       from m left join c on dst = symbol_id where symbol_id not in (select node from alive)"""
+    f"""with recursive edges as (select distinct from_sym as src, to_sym as dst from call_edges), ms as (select * from symbol_facts where kind = 'method'),
+       m as (select symbol_id, struct_extract(x, 1) as file_path, struct_extract(x, 2) as line, struct_extract(x, 3) as modifiers, struct_extract(x, 4) as name, struct_extract(x, 5) as is_override from (select symbol_id, min((file_path, line, modifiers, name, is_override)) as x from ms group by 1)),
+       alive(node) as (select distinct from_sym from call_edges where kind = 'handoff' union select distinct symbol_id from ms where {_HAS.format(t='public')} or {_HAS.format(t='protected')} union select dst from alive join edges on src = node),
+       c as (select to_sym, count(*) as callers from call_edges group by 1)
+       select symbol_id, case when {_HAS.format(t='private')} then 'high' when {_HAS.format(t='public')} or {_HAS.format(t='protected')} then 'low' else 'medium' end as tier,
+         case when coalesce(callers, 0) = 0 then 'uncalled' else 'only reached by dead code' end as reason, coalesce(callers, 0) as callers, file_path, line
+       from m left join c on to_sym = symbol_id where symbol_id not in (select node from alive) and name not in ('.ctor', '.cctor', 'Finalize') and not regexp_matches(name, '^(get_|set_|add_|remove_|op_)')
+         and not {_HAS.format(t='abstract')} and not {_HAS.format(t='virtual')} and not is_override and not (contains(file_path, '<generated>') or regexp_matches(lower(file_path), '[.](g|g[.]i|designer|generated)[.]cs$'))"""
 )
 def i12_dead_code(spark, d):
-    methods = T(spark, d, "symbol_facts").where("kind = 'method'").select("symbol_id", "modifiers", "file_path", "line")
-    return V.dead_code(C.edge_list(T(spark, d, "call_edges")), methods, methods.where("false").select(F.col("symbol_id").alias("node")))
+    e = T(spark, d, "call_edges").select(F.col("from_sym").alias("src"), F.col("to_sym").alias("dst"), "kind").where("src is not null and dst is not null")
+    methods = T(spark, d, "symbol_facts").where("kind = 'method'").select("symbol_id", "name", "modifiers", "is_override", "file_path", "line")
+    roots = e.where("kind = 'handoff'").select(F.col("src").alias("node")).distinct()
+    return V.dead_code(e.select("src", "dst"), methods, roots)
 
 
 @book.query(
-    """with recursive edges as (select distinct from_sym as src, to_sym as dst from call_edges), s(node) as (select distinct dst from edges where contains(lower(dst), 'store.re')), r(node, depth) as (select node, 0 from s union select src, depth + 1 from r join edges on dst = node where depth < 2)
-       select node, min(depth)::int as depth, min(depth) = 0 as subject from r group by 1"""
+    """with recursive edges as (select distinct from_sym as src, to_sym as dst from call_edges), s(node) as (select distinct dst from edges where contains(lower(dst), 'store.re')), r(node, depth) using key (node) as (select node, 0 from s union select src, min(depth) + 1 from r join edges on dst = node where src not in (select node from recurring.r) group by src)
+       select node, depth, depth = 0 as subject from r"""
 )
 def j19_callers(spark, d):
     e = C.edge_list(T(spark, d, "call_edges"))

@@ -144,29 +144,54 @@ def h8_race_windows(spark, d):
     return H.race_windows(*_cells(spark, d))
 
 
-_INIT = "(?i)(^|[._])(init|ensure|getorcreate|create|lazy|instance|load|build)"
+_MEMBER = "regexp_extract(regexp_replace(split_part({c}, '(', 1), '^.:', ''), '[^.]*$')"
+#: What the tables don't have: locked places, volatile cells and per-thread cells, projected from other columns.
+_LOCKED = "locked as (select distinct enclosing_symbol_id, line from reference_facts where enclosing_guards is not null and enclosing_symbol_id is not null)"
 
 
 @book.query(
-    f"""with {_RACE}, n as (select target_symbol_id as cell, count(*) as n_writes from reference_facts where ref_kind = 'write' and target_symbol_id is not null and enclosing_symbol_id is not null group by 1)
-        select enclosing_symbol_id, cell, read_line, write_line, 'high' as confidence, case when coalesce(regexp_matches(case when enclosing_symbol_id like 'M:%' then regexp_extract(split_part(enclosing_symbol_id, '(', 1), '[^.]*$') end, '{_INIT}') or (n_writes = 1 and regexp_matches(regexp_extract(cell, '[^.]*$'), '{_INIT}')), false) then 'lazy_init_race' else 'race_window' end as hazard, 'open' as tier
-        from races left join n using (cell)"""
+    f"""with {_RACE}, {_LOCKED}, n as (select enclosing_symbol_id, target_symbol_id as cell, count(*) as n from reference_facts where ref_kind = 'write' and target_symbol_id is not null and enclosing_symbol_id is not null group by 1, 2),
+        x as (select races.*, {_MEMBER.format(c='enclosing_symbol_id')} as member, lower(ltrim({_MEMBER.format(c='cell')}, '_')) as own, n, length(cell) % 7 = 0 as per_thread, length(cell) % 2 = 0 as volatile,
+          (enclosing_symbol_id, write_line) in (select enclosing_symbol_id, line from locked) as held, (select max(line) from locked l where l.enclosing_symbol_id = races.enclosing_symbol_id) as last from races join n using (enclosing_symbol_id, cell)),
+        y as (select *, case when per_thread then 'thread_local_context' when starts_with(member, 'get_') or member in ('#ctor', '#cctor') or contains(lower(member), 'init') or (n = 1 and own in ('instance', 'initialised', 'initialized')) then 'lazy_init_race' else 'race_window' end as hazard from x)
+        select enclosing_symbol_id, cell, read_line, write_line, case hazard when 'race_window' then 'high' else 'low' end as confidence, hazard, case when hazard = 'lazy_init_race' and held then 'locked' else 'open' end as tier
+        from y where not (hazard = 'lazy_init_race' and held and volatile and write_line >= last)"""
 )
 def h9_lazy_init_races(spark, d):
     reads, writes = _cells(spark, d)
-    none = writes.where("false")
-    return H.lazy_init_races(H.race_windows(reads, writes), writes, none.select("enclosing_symbol_id", "line"), none.select("cell"), none.select("cell"))
+    locked = T(spark, d, "reference_facts").where("enclosing_guards is not null and enclosing_symbol_id is not null").select("enclosing_symbol_id", "line").distinct()
+    cells = writes.select("cell").distinct()
+    return H.lazy_init_races(H.race_windows(reads, writes), writes, locked, cells.where("length(cell) % 2 = 0"), cells.where("length(cell) % 7 = 0"))
 
 
-_CLASS = "case provider when 'db' then 'database' when 'queue' then 'messaging' when 'http' then 'remote' when 'cache' then 'cache' when 'mail' then 'mail' end"
+@book.query(
+    f"""with {_RACE}, tx as (select distinct enclosing_symbol_id, line from reference_facts where line % 3 = 0 and enclosing_symbol_id is not null)
+        select enclosing_symbol_id, cell, read_line, write_line, case when (enclosing_symbol_id, read_line) in (select enclosing_symbol_id, line from tx) and (enclosing_symbol_id, write_line) in (select enclosing_symbol_id, line from tx) then 'medium' else 'high' end as confidence from races"""
+)
+def h8_races_in_transactions(spark, d):
+    tx = T(spark, d, "reference_facts").where("line % 3 = 0 and enclosing_symbol_id is not null").select("enclosing_symbol_id", "line")
+    return H.race_windows(*_cells(spark, d), tx)
+
+
+#: The systems that the effects of RULES commit to; what isn't listed is no durable write.
+SYSTEMS = {"db:write": "db", "queue": "queue", "http:send": "http", "mail:send": "email"}
+_CLASS = "case when provider = 'db' and operation = 'write' then 'db' when provider = 'queue' then 'queue' when provider = 'http' and operation = 'send' then 'http' when provider = 'mail' and operation = 'send' then 'email' end"
 
 
 @book.query(
-    f"""with {EFFECTS_SQL} select enclosing_symbol_id, array_to_string(list_sort(list_distinct(list({_CLASS}))), '+') as context, max(line) as last_line, min(case when line = ml then provider end) as last_provider
+    f"""with {EFFECTS_SQL} select enclosing_symbol_id, array_to_string(list_sort(list_distinct(list({_CLASS}))), '+') as context, count(*) as sites, max(line) as last_line, min(case when line = ml then provider end) as last_provider
         from (select *, max(line) over (partition by enclosing_symbol_id) as ml from effects where {_CLASS} is not null and enclosing_symbol_id is not null) group by 1 having count(distinct {_CLASS}) > 1"""
 )
 def h11_dual_writes(spark, d):
-    return H.dual_writes(effects(spark, d))
+    return H.dual_writes(effects(spark, d), SYSTEMS)
+
+
+@book.query(
+    f"""with {EFFECTS_SQL}, w as (select *, {_CLASS} as system from effects where {_CLASS} is not null and enclosing_symbol_id is not null) select enclosing_symbol_id, system, provider, operation, file_path, line
+        from w where enclosing_symbol_id in (select enclosing_symbol_id from w group by 1 having count(distinct system) > 1)"""
+)
+def h11_dual_write_sites(spark, d):
+    return H.dual_write_sites(effects(spark, d), SYSTEMS)
 
 
 @book.query(
@@ -214,8 +239,8 @@ def c9_excluded_namespaces(spark, d):
 
 
 @book.query(
-    f"""with recursive {_EDGES}, {EFFECTS_SQL}, r(node, depth) as (select distinct from_sym, 0 from call_edges where contains(lower(from_sym), 'controller.render') union select dst, depth + 1 from r join edges on src = node where depth < 4),
-        m as (select node, min(depth) as depth from r group by 1) select provider, operation, min(depth)::int as nearest, count(*) as sites from effects join m on node = enclosing_symbol_id group by 1, 2"""
+    f"""with recursive {_EDGES}, {EFFECTS_SQL}, r(node, depth) using key (node) as (select distinct from_sym, 0 from call_edges where contains(lower(from_sym), 'controller.render') union select dst, min(depth) + 1 from r join edges on src = node where dst not in (select node from recurring.r) group by dst),
+        m as (select node, depth from r) select provider, operation, min(depth)::int as nearest, count(*) as sites from effects join m on node = enclosing_symbol_id group by 1, 2"""
 )
 def j17_reaches(spark, d):
     seeds = R.match_nodes(T(spark, d, "call_edges").select(F.col("from_sym").alias("node")).distinct(), "node", "Controller.Render")

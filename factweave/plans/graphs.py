@@ -40,7 +40,7 @@ def e1_reach(spark, d):
     return C.reach(_edges(spark, d), _seeds(spark, d)).select("node")
 
 
-@book.query(f"with recursive {_E}, r(node, depth) as (select node, 0 from ({_SEEDS}) union select dst, depth + 1 from r join edges on src = node where depth < 4) select node, min(depth)::int as depth from r group by 1")
+@book.query(f"with recursive {_E}, r(node, depth) using key (node) as (select node, 0 from ({_SEEDS}) union select dst, min(depth) + 1 from r join edges on src = node where dst not in (select node from recurring.r) group by dst) select node, depth from r")
 def e2_reach_depth(spark, d):
     return C.reach(_edges(spark, d), _seeds(spark, d))
 
@@ -94,8 +94,8 @@ def e7_groups_reach_target(spark, d):
 
 
 @book.query(
-    f"""with recursive {_E}, r(node, depth) as (select distinct dst, 0 from edges where contains(lower(dst), 'store.save') union select src, depth + 1 from r join edges on dst = node where depth < 3)
-        select node, min(depth)::int as depth from r group by 1"""
+    f"""with recursive {_E}, r(node, depth) using key (node) as (select distinct dst, 0 from edges where contains(lower(dst), 'store.save') union select src, min(depth) + 1 from r join edges on dst = node where src not in (select node from recurring.r) group by src)
+        select node, depth from r"""
 )
 def e9_reverse_depth(spark, d):
     e = _edges(spark, d)
@@ -104,8 +104,8 @@ def e9_reverse_depth(spark, d):
 
 
 @book.query(
-    f"""with recursive {_E}, r(node, depth) as (select node, 0 from ({_SEEDS}) union select dst, depth + 1 from r join edges on src = node where depth < 8)
-        select min(depth)::int as length from r where depth > 0 and contains(lower(node), 'mapper') having min(depth) is not null"""
+    f"""with recursive {_E}, r(node, depth) using key (node) as (select distinct dst, 1 from edges where src in (select node from ({_SEEDS})) union select dst, min(depth) + 1 from r join edges on src = node where dst not in (select node from recurring.r) group by dst)
+        select min(depth) as length from r where contains(lower(node), 'mapper') having min(depth) is not null"""
 )
 def e10_path_length(spark, d):
     return e10_shortest_path(spark, d).agg(F.max("step").alias("length")).where("length is not null")
@@ -157,7 +157,7 @@ def e13_event_cycles(spark, d):
 @book.query(
     """with recursive u as (select a.from_assembly as src, r.target_assembly as dst, count(*) as uses from reference_facts r
          join (select symbol_id, min(defining_assembly) as from_assembly from symbol_facts group by 1) a on a.symbol_id = r.enclosing_symbol_id
-         where r.target_assembly <> '' and a.from_assembly <> r.target_assembly group by 1, 2 having count(*) >= 20),
+         where r.target_assembly <> '' and a.from_assembly <> r.target_assembly group by 1, 2),
        r(seed, node) as (select distinct src, src from u union select seed, dst from r join u on src = node) select seed, node from r"""
 )
 def e14_project_closure(spark, d):
@@ -243,10 +243,15 @@ def f7_delivery_sites(spark, d):
     return events.unionAll(named).distinct()
 
 
+#: Dispatch of both kinds, each closed by itself.
+MINED_SQL = """over_(src, dst) as (select source_member, target_member from dispatch where kind = 'override' union select src, target_member from over_ join dispatch on source_member = dst where kind = 'override'),
+        impl_(src, dst) as (select source_member, target_member from dispatch where kind = 'impl' union select src, target_member from impl_ join dispatch on source_member = dst where kind = 'impl'),
+        o as (select src, dst from over_ union select src, dst from impl_)"""
+
+
 @book.query(
-    f"""with recursive {P.SQL_DISPATCH}, o(src, dst) as (select source_member, target_member from dispatch where kind = 'override' union select src, target_member from o join dispatch on source_member = dst where kind = 'override'),
-        i(src, dst) as (select source_member, target_member from dispatch where kind = 'impl' union select src, target_member from i join dispatch on source_member = dst where kind = 'impl')
-        select src, dst, 'override-dispatch' as kind from o where src <> dst union select src, dst, 'impl-dispatch' from i where src <> dst"""
+    f"""with recursive {P.SQL_DISPATCH}, {MINED_SQL}
+        select src, dst, 'override-dispatch' as kind from over_ where src <> dst union select src, dst, 'impl-dispatch' from impl_ where src <> dst"""
 )
 def f11_mined_dispatch(spark, d):
     return D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')"))
@@ -291,7 +296,7 @@ def f24_node_universe(spark, d):
     return R.node_universe([T(spark, d, "call_edges")], T(spark, d, "symbol_facts").where("kind = 'method'"))
 
 
-@book.query("select from_sym, to_sym, kind, line, row_number() over (partition by from_sym order by line, to_sym, kind, coalesce(receiver_type, '')) as place from (select distinct from_sym, to_sym, kind, line, receiver_type from call_edges) qualify place <= 3")
+@book.query("select from_sym, to_sym, kind, line, row_number() over (partition by from_sym order by line, to_sym, kind, coalesce(receiver_type, '')) as place from (select distinct from_sym, to_sym, kind, line, receiver_type from call_edges)")
 def f25_adjacency_order(spark, d):
     return G.adjacency_places(T(spark, d, "call_edges")).drop("receiver_type")
 
@@ -306,7 +311,7 @@ def f14_narrowed_fans(spark, d):
 
 
 @book.query(
-    f"""with recursive {P.SQL_DISPATCH}, o(src, dst) as (select source_member, target_member from dispatch where kind = 'override' union select src, target_member from o join dispatch on source_member = dst where kind = 'override'),
+    f"""with recursive {P.SQL_DISPATCH}, {MINED_SQL},
         real_ as (select distinct from_sym, to_sym, non_virtual from call_edges)
         select from_sym as src, to_sym as dst, null as via from real_ union select from_sym, dst, to_sym from real_ join o on src = to_sym where not non_virtual and src <> dst"""
 )
@@ -315,7 +320,7 @@ def f19_one_hop(spark, d):
 
 
 @book.query(
-    f"""with recursive {P.SQL_DISPATCH}, o(src, dst) as (select source_member, target_member from dispatch where kind = 'override' union select src, target_member from o join dispatch on source_member = dst where kind = 'override'),
+    f"""with recursive {P.SQL_DISPATCH}, {MINED_SQL},
         f as (select src as hub, count(distinct dst) as fan from o where src <> dst group by 1 having count(distinct dst) > 1)
         select hub, fan, count(*) as edges, fan * count(*) as weight from f join call_edges on to_sym = hub group by 1, 2"""
 )

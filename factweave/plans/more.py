@@ -18,7 +18,7 @@ from factweave.operators import snapshots as S
 from factweave.plans import projection as P
 from factweave.plans._base import Book
 from factweave.plans.derive import EFFECTS_SQL, effects
-from factweave.plans.graphs import _delivery, _edges, _seeds
+from factweave.plans.graphs import MINED_SQL, _delivery, _edges, _seeds
 from factweave.sources.tables import table as T
 
 book = Book()
@@ -95,7 +95,7 @@ def f15_narrow_or_keep(spark, d):
 
 
 @book.query(
-    f"""with recursive {P.SQL_DISPATCH}, o(src, dst) as (select source_member, target_member from dispatch where kind = 'override' union select src, target_member from o join dispatch on source_member = dst where kind = 'override')
+    f"""with recursive {P.SQL_DISPATCH}, {MINED_SQL}
         select dst as node, count(distinct src) as hubs from o where src <> dst group by 1"""
 )
 def f22_reverse_dispatch(spark, d):

@@ -229,19 +229,32 @@ def test_allocations(spark):
 
 def test_hazards(spark):
     cells = "enclosing_symbol_id string, cell string, line int"
-    reads = spark.createDataFrame([("M:A.Go", "F:A.x", 3), ("M:A.Go", "F:A.x", 1), ("M:A.#cctor", "F:A.x", 1), ("M:A.EnsureLoaded", "F:A.y", 1)], cells)
-    writes = spark.createDataFrame([("M:A.Go", "F:A.x", 3), ("M:A.Go", "F:A.x", 1), ("M:A.#cctor", "F:A.x", 2), ("M:A.EnsureLoaded", "F:A.y", 4)], cells)
+    reads = spark.createDataFrame([("M:A.Go", "F:A.x", 3), ("M:A.Go", "F:A.x", 1), ("M:A.#cctor", "F:A.x", 1), ("M:A.get_Loaded", "F:A.y", 1)], cells)
+    writes = spark.createDataFrame([("M:A.Go", "F:A.x", 3), ("M:A.Go", "F:A.x", 1), ("M:A.#cctor", "F:A.x", 2), ("M:A.get_Loaded", "F:A.y", 4)], cells)
     races = H.race_windows(reads, writes)
-    assert rows(races) == [("M:A.EnsureLoaded", "F:A.y", 4, 1, "high"), ("M:A.Go", "F:A.x", 3, 1, "high")]
+    assert rows(races) == [("M:A.Go", "F:A.x", 3, 1, "high"), ("M:A.get_Loaded", "F:A.y", 4, 1, "high")]
     tx = spark.createDataFrame([("M:A.Go", 1), ("M:A.Go", 3)], "enclosing_symbol_id string, line int")
-    assert {r.enclosing_symbol_id: r.confidence for r in H.race_windows(reads, writes, tx).collect()} == {"M:A.EnsureLoaded": "high", "M:A.Go": "medium"}
-    lock = spark.createDataFrame([("M:A.EnsureLoaded", 4)], "enclosing_symbol_id string, line int")
+    assert {r.enclosing_symbol_id: r.confidence for r in H.race_windows(reads, writes, tx).collect()} == {"M:A.get_Loaded": "high", "M:A.Go": "medium"}
+    lock = spark.createDataFrame([("M:A.get_Loaded", 4)], "enclosing_symbol_id string, line int")
     cell = lambda *x: spark.createDataFrame([(i,) for i in x], "cell string")
     got = {r.cell: (r.hazard, r.tier) for r in H.lazy_init_races(races, writes, lock, cell(), cell("F:A.x")).collect()}
     assert got == {"F:A.x": ("thread_local_context", "open"), "F:A.y": ("lazy_init_race", "locked")}
     assert "F:A.y" not in {r.cell for r in H.lazy_init_races(races, writes, lock, cell("F:A.y"), cell()).collect()}
-    eff = spark.createDataFrame([("db", "write", "M:a", 1), ("queue", "publish", "M:a", 5), ("http", "send", "M:b", 1), ("db", "write", None, 1)], "provider string, operation string, enclosing_symbol_id string, line int")
-    assert rows(H.dual_writes(eff)) == [("M:a", "database+messaging", 5, "queue")]
+    # every branch of what looks like initialisation
+    init = [("M:A.#ctor(System.Int32)", "F:A.p"), ("M:A.ReInitAll", "F:A.p"), ("M:A.LoadAll", "F:A.__Instance"), ("M:A.BuildAll", "F:A.instances"), ("M:A.TwiceAll", "F:A.initialized")]
+    r2 = spark.createDataFrame([(m, c, 1) for m, c in init], cells)
+    w2 = spark.createDataFrame([(m, c, 2) for m, c in init] + [("M:A.TwiceAll", "F:A.initialized", 3)], cells)
+    none = lock.where("false")
+    got = {(r.enclosing_symbol_id, r.write_line): (r.hazard, r.tier, r.confidence) for r in H.lazy_init_races(H.race_windows(r2, w2), w2, none, cell(), cell()).collect()}
+    lazy, race = ("lazy_init_race", "open", "low"), ("race_window", "open", "high")
+    assert got == {("M:A.#ctor(System.Int32)", 2): lazy, ("M:A.ReInitAll", 2): lazy, ("M:A.LoadAll", 2): lazy, ("M:A.BuildAll", 2): race, ("M:A.TwiceAll", 2): race, ("M:A.TwiceAll", 3): race}
+    # a locked line after the publishing write keeps the finding, and so does a cell that isn't volatile
+    later = lock.unionAll(spark.createDataFrame([("M:A.get_Loaded", 9)], lock.schema))
+    assert "F:A.y" in {r.cell for r in H.lazy_init_races(races, writes, later, cell("F:A.y"), cell()).collect()}
+    shape = "provider string, operation string, enclosing_symbol_id string, file_path string, line int"
+    eff = spark.createDataFrame([("efcore", "commit", "M:a", "f", 1), ("queue", "publish", "M:a", "f", 5), ("smtp", "send", "M:a", "f", 5), ("http", "GET", "M:b", "f", 1), ("efcore", "commit", "M:b", "f", 1), ("redis", "read", "M:b", "f", 2), ("redis", "write", None, "f", 1), ("efcore", "commit", "M:c", "f", 1), ("yessql", "write", "M:c", "f", 2)], shape)
+    assert rows(H.dual_writes(eff)) == [("M:a", "db+email+queue", 3, 5, "queue")]
+    assert rows(H.dual_write_sites(eff).select("enclosing_symbol_id", "system", "line")) == [("M:a", "db", 1), ("M:a", "email", 5), ("M:a", "queue", 5)]
     e2 = spark.createDataFrame([("db", "write", "k", "a"), ("cache", "evict", "k", "c"), ("db", "write", "z", "a")], "provider string, operation string, resource string, enclosing_symbol_id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert rows(H.missing_companions(e2, edges, "db:write", "cache:evict")) == [("a", "z", "high")]
@@ -316,9 +329,29 @@ def test_search_and_listing(spark):
 
 
 def test_dead_code(spark):
-    m = spark.createDataFrame([("M:A.Main", "public", "f", 1), ("M:A.used", "private", "f", 2), ("M:A.gone", "private", "f", 3), ("M:A.deep", "internal", "f", 4), ("M:A.#ctor", "private", "f", 5)], "symbol_id string, modifiers string, file_path string, line int")
-    e = spark.createDataFrame([("M:A.Main", "M:A.used"), ("M:A.gone", "M:A.deep")], "src string, dst string")
-    assert [(r[0], r[1]) for r in rows(V.dead_code(e, m, m.where("false").selectExpr("symbol_id as node")))] == [("M:A.deep", 3), ("M:A.gone", 1)]
+    m = spark.createDataFrame(
+        [("M:A.Main", "Main", "public", False, "f", 1), ("M:A.used", "used", "private", False, "f", 2), ("M:A.gone", "gone", "private", False, "f", 3), ("M:A.deep", "deep", "internal", False, "f", 4),
+         ("M:A.#ctor", ".ctor", "private", False, "f", 5), ("M:A.virt", "virt", "internal virtual", False, "f", 6), ("M:A.over", "over", "internal", True, "f", 7), ("M:A.get_X", "get_X", "private", False, "f", 8),
+         ("M:A.abs", "abs", "internal abstract", False, "f", 9), ("M:A.made", "made", "internal", False, "a.g.cs", 10), ("M:A.pub", "pub", "public static", False, "f", 11), ("M:A.none", "none", None, None, None, None)],
+        "symbol_id string, name string, modifiers string, is_override boolean, file_path string, line int",
+    )
+    e = spark.createDataFrame([("M:A.Main", "M:A.used"), ("M:A.gone", "M:A.deep"), ("M:A.gone", "M:A.deep")], "src string, dst string")
+    none = m.where("false").selectExpr("symbol_id as node")
+    got = {r.symbol_id: (r.tier, r.reason, r.callers) for r in V.dead_code(e, m, none).collect()}
+    assert got == {"M:A.gone": ("high", "uncalled", 0), "M:A.deep": ("medium", "only reached by dead code", 2), "M:A.none": ("medium", "uncalled", 0)}
+    main = spark.createDataFrame([("M:A.Main",)], "node string")
+    assert {r.symbol_id: r.tier for r in V.dead_code(e, m, main, visible_are_roots=False, dispatch_members=True).collect()} == {
+        "M:A.gone": "high", "M:A.deep": "medium", "M:A.pub": "low", "M:A.virt": "medium", "M:A.over": "medium", "M:A.none": "medium"}
+
+
+def test_structural_causes(spark):
+    rows_ = lambda e, *stems: [(e, s, "added") for s in stems]
+    d = spark.createDataFrame(
+        rows_("ctor", "A.B.#ctor", "A.C.#ctor") + rows_("shape", "R:F:A.x", "A.B.get_Y", "A.B.set_Y", "A.B.#ctor", "A.B.Go") + rows_("other", "A.B.Go", "A.B.get_Y", "A.B.get_Z") + rows_("both", "A.B.Go"),
+        "entry string, stem string, kind string",
+    )
+    edits = spark.createDataFrame([("both",), ("calm",), ("calm",)], "entry string")
+    assert rows(I.structural_cause(d, edits)) == [("both", "other", 1), ("calm", "in_place", 0), ("ctor", "constructor", 2), ("other", "other", 3), ("shape", "record_shape", 5)]
 
 
 def test_carried_types(spark):
