@@ -116,8 +116,8 @@ def simple_member_name(symbol: str | Column) -> Column:
 
 
 def simple_type_name(type_id: str | Column) -> Column:
-    """The last part of a type's name, without arity mark or arguments."""
-    return F.substring_index(strip_generic(param_free_name(type_id)), ".", -1)
+    """The last part of a type's name, without arity mark or arguments; of a type within a generic one, its own name."""
+    return F.substring_index(F.substring_index(F.substring_index(param_free_name(type_id), "{", 1), ".", -1), "`", 1)
 
 
 def namespace_of(type_name: str | Column) -> Column:
@@ -194,6 +194,29 @@ def type_route(type_name: str | Column, prefix: str) -> Column:
     return F.concat(F.lit("/"), F.translate(rest, ".", "/"))
 
 
+def action_route(symbol: str | Column, prefix: str) -> Column:
+    """An action's route: the method's full name after a prefix of its namespace, all dots but the last as slashes; null
+    for ids that are no method or lie outside of the prefix. The prefix is taken as it stands."""
+    body = strip_arity(F.substring(head(symbol), 3, 1 << 20))
+    rest = F.substring(body, len(prefix) + 1, 1 << 20)
+    at = F.regexp_extract(rest, r"(?s)^(.*)\.[^.]*$", 1)
+    route = F.when(rest.contains("."), F.concat(F.translate(at, ".", "/"), F.lit("."), F.substring_index(rest, ".", -1))).otherwise(rest)
+    return F.when(is_method(symbol) & body.startswith(prefix), route)
+
+
+def inheritance_route(type_id: str | Column, method: str | Column) -> Column:
+    """A handler's route: its type's full name and the method's; null unless the type is a ``T:`` id."""
+    t = _c(type_id)
+    return F.when(t.startswith("T:"), F.concat(strip_arity(F.substring(t, 3, 1 << 20)), F.lit("."), _c(method)))
+
+
+def substitute_names(text: str | Column, names: dict[str, str]) -> Column:
+    """Text with whole identifiers replaced, all at once: T in List<T> and not in TKey or in what was put in."""
+    out = F.regexp_replace(_c(text), r"(?<![\p{L}\p{Nd}_])(?=[\p{L}_])|(?<=[\p{L}\p{Nd}_])(?![\p{L}\p{Nd}_])", "\u0001")
+    parts = F.transform(F.split(out, "\u0001"), lambda x: F.coalesce(F.create_map(*[F.lit(v) for kv in names.items() for v in kv])[x], x) if names else x)
+    return F.array_join(parts, "")
+
+
 def constructor_type(symbol: str | Column) -> Column:
     """The type a constructor id makes, without prefix and arity marks; null for other ids."""
     return F.when(method_name(symbol) == "#ctor", declaring_type(symbol))

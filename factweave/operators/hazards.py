@@ -96,9 +96,9 @@ def dual_write_sites(effects: DataFrame, classes: dict[str, str] = SYSTEM_CLASSE
 
 
 def sync_over_async(effects: DataFrame, methods: DataFrame) -> DataFrame:
-    """Effects ``async_block`` within methods (symbol_id, modifiers) that are async themselves."""
+    """Effects of the provider ``async_block`` within methods (symbol_id, modifiers) that are async themselves."""
     asyncs = methods.where(F.array_contains(F.split("modifiers", r"\s+"), "async")).select(F.col("symbol_id").alias("enclosing_symbol_id")).distinct()
-    return effects.where(F.lower("operation") == "async_block").join(asyncs, "enclosing_symbol_id", "left_semi")
+    return effects.where(F.col("provider") == "async_block").join(asyncs, "enclosing_symbol_id", "left_semi")
 
 
 def missing_companions(effects: DataFrame, edges: DataFrame, anchor: str, companion: str, in_scope: DataFrame | None = None) -> DataFrame:

@@ -65,3 +65,8 @@ def usage_of(refs: DataFrame, symbol_text: str) -> DataFrame:
 
 def short_names(df: DataFrame, column: str) -> DataFrame:
     return df.select(column, docid.short_name(column).alias("short_name")).distinct()
+
+
+def references_to(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References whose target is one of the symbols (symbol_id), as they are; copies and nulls among the symbols count once."""
+    return refs.join(symbols.select(F.col("symbol_id").alias("target_symbol_id")).distinct(), "target_symbol_id", "left_semi")

@@ -194,12 +194,17 @@ def h11_dual_write_sites(spark, d):
     return H.dual_write_sites(effects(spark, d), SYSTEMS)
 
 
+#: A rule for calls that wait for what is asynchronous.
+BLOCKING = [X.EffectRule("async_block", "wait", ("Collect", "Dispatch", "Export"), ("Corvane.Http", "Corvane.Runtime"), resource="declaring_type")]
+
+
 @book.query(
-    f"""with {EFFECTS_SQL} select provider, operation, enclosing_symbol_id, line from effects where provider = 'http' and enclosing_symbol_id in (select symbol_id from symbol_facts where list_contains(string_split(modifiers, ' '), 'async'))"""
+    rf"""select 'async_block' as provider, 'wait' as operation, {_DECL} as resource, enclosing_symbol_id, file_path, line, target_symbol_id from ({_FACTS})
+        where target_symbol_id like 'M:%' and {_NAME} in ('Collect', 'Dispatch', 'Export') and (starts_with({_DECL}, 'Corvane.Http.') or starts_with({_DECL}, 'Corvane.Runtime.'))
+          and enclosing_symbol_id in (select symbol_id from symbol_facts where list_contains(string_split(modifiers, ' '), 'async'))"""
 )
 def h12_sync_over_async(spark, d):
-    e = effects(spark, d).where("provider = 'http'").withColumn("operation", F.lit("async_block"))
-    return H.sync_over_async(e, T(spark, d, "symbol_facts")).select("provider", F.lit("send").alias("operation"), "enclosing_symbol_id", "line")
+    return H.sync_over_async(X.invocation_effects(T(spark, d, "reference_facts"), BLOCKING), T(spark, d, "symbol_facts")).select(*X.EFFECT_COLUMNS)
 
 
 _EDGES = "edges as (select distinct from_sym as src, to_sym as dst from call_edges where kind <> 'handoff')"

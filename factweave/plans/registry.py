@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.plans import changes, derive, graphs, more, problems, relational
+from factweave.plans import changes, derive, enriched, graphs, more, problems, relational
 
-_MODULES = [problems, relational, graphs, derive, changes, more]
+_MODULES = [problems, relational, graphs, derive, changes, more, enriched]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

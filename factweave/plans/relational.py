@@ -277,7 +277,7 @@ def k1_method_parts(spark, d):
 @book.query(
     r"""select symbol_id, split_part(split_part(symbol_id, '{', 1), '`', 1) as bare, regexp_replace(symbol_id, '`+\d*', '', 'g') as no_arity,
         regexp_replace(split_part(symbol_id, '(', 1), '^.:', '') as free, regexp_extract(regexp_replace(split_part(symbol_id, '(', 1), '^.:', ''), '[^.]*$') as member,
-        regexp_extract(split_part(split_part(regexp_replace(split_part(symbol_id, '(', 1), '^.:', ''), '{', 1), '`', 1), '[^.]*$') as simple_type,
+        split_part(regexp_extract(split_part(regexp_replace(split_part(symbol_id, '(', 1), '^.:', ''), '{', 1), '[^.]*$'), '`', 1) as simple_type,
         case when contains(symbol_id, '~λ') then split_part(symbol_id, '~λ', 1) end as container from (select distinct symbol_id from symbol_facts)"""
 )
 def k4_name_parts(spark, d):
