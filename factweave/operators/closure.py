@@ -1,18 +1,24 @@
 """Transitive closure, shortest depth, paths and strongly connected components over edge tables.
 
 All loops are semi-naive: each round joins only what the last one found with the edges, and a round's result is a
-written table. Edges have the columns src and dst.
+written table. A graph of measured, bounded size is searched in memory instead, with the same result. Edges have the
+columns src and dst.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.runtime import materialize, release, with_dense_id
+from factweave.runtime import Appended, materialize, release, shuffle_partitions, with_dense_id
 
 
 def edge_list(edges: DataFrame, src: str = "from_sym", dst: str = "to_sym") -> DataFrame:
@@ -28,30 +34,203 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     """(node, depth): what the seeds (node) reach, themselves at depth 0, with the least number of edges.
 
     Cycles are safe; seeds that occur in no edge reach themselves. No seeds, no rows. max_depth None is unbounded.
+    A graph within the bounds of ``LocalGraph`` is searched by the driver, where a round costs no job; so are at most
+    as many seeds.
     """
-    return _levels(edges, seeds.select("node"), [], max_depth)
+    links = materialize(_links(edges), "edges")
+    starts = seeds.select("node").where("node is not null").distinct()
+    graph = LocalGraph.of(links)
+    found = starts.limit(MOST_EDGES + 1).toArrow() if graph else None
+    if graph is None or found.num_rows > MOST_EDGES:
+        return _levels(links, starts, [], max_depth)
+    release(links)
+    names = found.column("node").combine_chunks()
+    ids = graph.ids(names)
+    at, depth = graph.search(np.unique(ids[ids >= 0]), max_depth)
+    lone = names.filter(pa.array(ids < 0))
+    node = pa.concat_arrays([graph.names.take(pa.array(at)), lone])
+    table = pa.table({"node": node, "depth": pa.array(np.r_[depth, np.zeros(len(lone))].astype(np.int32))})
+    return edges.sparkSession.createDataFrame(table)
 
 
 def reach_each(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(seed, node, depth): the reach of every seed by itself; ``seeds`` has seed and node, its starting points."""
-    return _levels(edges, seeds.select("seed", "node"), ["seed"], max_depth)
+    """(seed, node, depth): the reach of every seed by itself; ``seeds`` has seed and node, its starting points.
+
+    A graph within the bounds of ``LocalGraph`` goes to every executor, and seeds are searched one by one without any
+    shuffle but that of the seeds; else all are followed in one loop of joins.
+    """
+    links = materialize(_links(edges), "edges")
+    starts = seeds.select("seed", "node").where("node is not null").distinct()
+    graph = LocalGraph.of(links)
+    if graph is None:
+        return _levels(links, starts, ["seed"], max_depth)
+    release(links)
+    shared = edges.sparkSession.sparkContext.broadcast(graph)
+    kind = starts.schema["seed"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, seed, held = shared.value, None, []
+
+        def done() -> pa.RecordBatch:
+            names = pa.array(held, pa.string())
+            ids = g.ids(names)
+            at, depth = g.search(np.unique(ids[ids >= 0]), max_depth)
+            lone = names.filter(pa.array(ids < 0))
+            node = pa.concat_arrays([g.names.take(pa.array(at)), lone])
+            of = pa.array([seed], key.type).take(pa.array(np.zeros(len(node), np.int64)))
+            return pa.RecordBatch.from_arrays([of, node, pa.array(np.r_[depth, np.zeros(len(lone))].astype(np.int32))], ["seed", "node", "depth"])
+
+        first = True
+        for b in batches:
+            key = b.column(0)
+            for x, node in zip(key.to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not first and x != seed:
+                    yield done()
+                    held = []
+                seed, first = x, False
+                held.append(node)
+        if not first:
+            yield done()
+
+    # a seed costs a search, not bytes: as many tasks as pay off, whatever their size
+    tasks = max(shuffle_partitions(edges.sparkSession), 2 * edges.sparkSession.sparkContext.defaultParallelism)
+    return starts.repartition(tasks, "seed").sortWithinPartitions("seed").mapInArrow(run, f"seed {kind}, node string, depth int")
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
+#: Edges and bytes of names up to which a graph is held in one process: what a task or the driver gets at most.
+MOST_EDGES, MOST_BYTES = 2_000_000, 256 << 20
 
 
-def _levels(edges: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int | None) -> DataFrame:
-    links = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
-    levels = [materialize(seeds.where("node is not null").distinct(), "level")]
+@dataclass
+class LocalGraph:
+    """A graph as arrays: names in order, and for each node where its successors lie."""
+
+    names: pa.Array
+    first: np.ndarray
+    next: np.ndarray
+
+    @classmethod
+    def of(cls, links: DataFrame) -> LocalGraph | None:
+        """The graph of distinct (src, dst) if it is within MOST_EDGES and MOST_BYTES, which is measured first."""
+        size = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("src") + F.octet_length("dst")).alias("b")).first()
+        if size.n > MOST_EDGES or (size.b or 0) > MOST_BYTES:
+            return None
+        t = links.toArrow()
+        src, dst = (t.column(c).combine_chunks().cast(pa.string()) for c in ("src", "dst"))
+        names = pc.unique(pa.concat_arrays([src, dst]))
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(x, names).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst))
+        order = np.argsort(a, kind="stable")
+        return cls(names, np.r_[0, np.cumsum(np.bincount(a, minlength=len(names)))], b[order].astype(np.int32))
+
+    def ids(self, names: pa.Array) -> np.ndarray:
+        """The number of each name; -1 for names that are no node."""
+        return pc.fill_null(pc.index_in(names.cast(pa.string()), self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def search(self, starts: np.ndarray, max_depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(node, depth) by breadth from the starts."""
+        seen = np.zeros(len(self.names), dtype=bool)
+        seen[starts] = True
+        level, found, depth = starts, [starts], [np.zeros(len(starts), np.int32)]
+        while len(level) and (max_depth is None or len(found) <= max_depth):
+            begin, n = self.first[level], self.first[level + 1] - self.first[level]
+            total = int(n.sum())
+            at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(total)
+            new = self.next[at]
+            level = np.unique(new[~seen[new]]).astype(np.int64)
+            seen[level] = True
+            if len(level):
+                found.append(level)
+                depth.append(np.full(len(level), len(depth), np.int32))
+        return np.concatenate(found).astype(np.int64), np.concatenate(depth)
+
+    def path(self, starts: np.ndarray, targets: np.ndarray, max_depth: int | None = None) -> list[int]:
+        """A shortest path of at least one edge, the least target and the least parents winning; empty without one."""
+        wanted = np.zeros(len(self.names), dtype=bool)
+        wanted[targets] = True
+        parent = np.full(len(self.names), -1, dtype=np.int64)
+        seen = np.zeros(len(self.names), dtype=bool)
+        seen[starts] = True
+        level, steps = np.unique(starts), 0
+        while len(level) and (max_depth is None or steps < max_depth):
+            steps += 1
+            begin, n = self.first[level], self.first[level + 1] - self.first[level]
+            new = self.next[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+            new, at = np.unique(new, return_index=True)  # the first to come is the least parent: levels are in order
+            by = np.repeat(level, n)[at]
+            if (hit := np.flatnonzero(wanted[new])).size:
+                out, v = [int(new[hit[0]])], int(by[hit[0]])
+                for _ in range(steps):
+                    out.append(v)
+                    v = int(parent[v])
+                return out[::-1]
+            fresh = ~seen[new]
+            parent[new[fresh]] = by[fresh]
+            seen[new] = True
+            level = new[fresh]
+        return []
+
+    def components(self) -> np.ndarray:
+        """For each node the least node of its strongly connected component (nodes are in order of their names)."""
+        n = len(self.names)
+        first, nxt = self.first.tolist(), self.next.tolist()
+        low, order, on, out = [0] * n, [0] * n, bytearray(n), list(range(n))
+        stack, count = [], 0
+        for root in range(n):
+            if order[root]:
+                continue
+            work = [(root, first[root])]
+            count += 1
+            order[root] = low[root] = count
+            stack.append(root)
+            on[root] = 1
+            while work:
+                v, i = work.pop()
+                if i < first[v + 1]:
+                    work.append((v, i + 1))
+                    w = nxt[i]
+                    if not order[w]:
+                        count += 1
+                        order[w] = low[w] = count
+                        stack.append(w)
+                        on[w] = 1
+                        work.append((w, first[w]))
+                    elif on[w]:
+                        low[v] = min(low[v], order[w])
+                    continue
+                if work:
+                    u = work[-1][0]
+                    low[u] = min(low[u], low[v])
+                if low[v] == order[v]:
+                    at = len(stack) - 1
+                    while stack[at] != v:
+                        at -= 1
+                    members = stack[at:]
+                    del stack[at:]
+                    least = min(members)
+                    for m in members:
+                        out[m], on[m] = least, 0
+        return np.array(out, dtype=np.int64)
+
+
+def _levels(links: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int | None) -> DataFrame:
+    """The search as joins: a level joins only what the last one found, and is a partition of one table that all levels
+    before are read from as one scan."""
+    spark = links.sparkSession
+    table = Appended(spark, "levels", seeds.schema, "depth")
+    more = table.add(seeds, 0)
     depth = 0
-    while max_depth is None or depth < max_depth:
-        new = levels[-1].join(links, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
-        seen = reduce(DataFrame.unionAll, levels)
-        found = materialize(new.join(seen, [*keys, "node"], "left_anti"), "level")
-        if found.isEmpty():
-            release(found)
-            break
-        levels.append(found)
+    while more and (max_depth is None or depth < max_depth):
+        last = table.read().where(F.col("depth") == depth)
+        new = last.join(links, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
+        more = table.add(new.join(table.read(), [*keys, "node"], "left_anti"), depth + 1)
         depth += 1
     release(links)
-    return reduce(DataFrame.unionAll, [x.withColumn("depth", F.lit(i)) for i, x in enumerate(levels)])
+    return table.read().select(*keys, "node", "depth")
 
 
 def groups_reaching(edges: DataFrame, groups: DataFrame, targets: DataFrame) -> DataFrame:
@@ -60,7 +239,7 @@ def groups_reaching(edges: DataFrame, groups: DataFrame, targets: DataFrame) ->
     return groups.select("seed").distinct().join(hit, "seed", "left").select("seed", F.coalesce("hit", F.lit(False)).alias("reaches"))
 
 
-def shortest_path(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 50) -> DataFrame:
+def shortest_path(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(step, node): a shortest path from a start to a target (node), of at least one edge; no rows without one.
 
     Of several, parents least by name win, going back from the least target. The walk back reads one row a step.
@@ -68,9 +247,16 @@ def shortest_path(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_d
     spark = edges.sparkSession
     links = materialize(edges.select("src", "dst").distinct(), "edges")
     wanted = targets.select("node").distinct()
+    if (graph := LocalGraph.of(links)) is not None:
+        ends = [wanted.limit(MOST_EDGES + 1).toArrow(), starts.select("node").distinct().limit(MOST_EDGES + 1).toArrow()]
+        if max(t.num_rows for t in ends) <= MOST_EDGES:
+            release(links)
+            to, at = (graph.ids(t.column("node").combine_chunks()) for t in ends)
+            names = graph.names.take(pa.array(graph.path(at[at >= 0], to[to >= 0], max_depth), pa.int64())).to_pylist()
+            return spark.createDataFrame(list(enumerate(names)), "step int, node string")
     level = materialize(starts.select("node").distinct().withColumn("parent", F.lit(None).cast("string")), "path")
     levels = [level]
-    for _ in range(max_depth):
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         new = levels[-1].select(F.col("node").alias("src")).join(links, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         arrived = new.join(wanted, "node", "left_semi").orderBy("node").limit(1).collect()
         if arrived:
@@ -93,7 +279,12 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes that can lie on no cycle are peeled off; the rest is coloured with the least label that reaches each node;
     what goes back to a colour's source within the colour is its component; and so on with what is left.
     """
-    links = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc")
+    links = materialize(_links(edges), "scc")
+    graph = LocalGraph.of(links)
+    if graph is not None:
+        release(links)
+        least = graph.names.take(pa.array(graph.components()))
+        return edges.sparkSession.createDataFrame(pa.table({"node": graph.names, "component": least}))
     nodes = links.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     done: list[DataFrame] = []
     core = links

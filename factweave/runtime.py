@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Where checkpoints go in local mode, when the session names no folder.
 _local_dir: str | None = None
@@ -65,6 +66,29 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return out
 
 
+class Appended:
+    """A written table that grows by partitions of one column; all of them are read as one scan."""
+
+    def __init__(self, spark: SparkSession, tag: str, schema: StructType, column: str) -> None:
+        self.spark, self.column = spark, column
+        self.path = f"{shared_dir(spark)}/factweave/{tag}-{uuid.uuid4().hex}"
+        self.schema = StructType([*schema.fields, StructField(column, IntegerType())])
+        self.parts: list[int] = []
+        atexit.register(_quietly, spark, self.path)
+
+    def add(self, df: DataFrame, part: int) -> bool:
+        """Write df as a partition; whether it has any rows."""
+        path = f"{self.path}/{self.column}={part}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.parts.append(part)
+        return not self.spark.read.schema(df.schema).parquet(path).isEmpty()
+
+    def read(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/{self.column}={p}" for p in self.parts])
+        out._factweave_path = self.path
+        return out
+
+
 def _quietly(spark: SparkSession, path: str) -> None:
     try:
         _delete(spark, path)

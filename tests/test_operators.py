@@ -371,3 +371,44 @@ def test_hazards_on_trees(spark):
     assert rows(H.on_tree(f, tree, "kind", "m", "c")) == [("a", "race", "high", 2)]
     assert rows(H.rollup(f, "kind", "m", "c")) == [("race", "a", 2, 1, 1, 0), ("race", "z", 1, 1, 0, 0)]
     assert H.without_namespaces(spark.createDataFrame([("M:Lib.A.f",), ("M:App.f",)], "m string"), "m", ["lib"]).count() == 1
+
+
+@pytest.mark.parametrize("most", [C.MOST_EDGES, 0])
+def test_closures_in_memory_and_by_joins(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "MOST_EDGES", most)
+    rng = random.Random(most)
+    for n in (1, 12) if most else (4,):
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(2 * n)]
+        e = spark.createDataFrame([*pairs, pairs[0], (None, "n0"), ("n0", None)], "src string, dst string")
+
+        def brute(starts, limit=None, pairs=pairs):
+            depth, level, k = dict.fromkeys(starts, 0), set(starts), 0
+            while level and (limit is None or k < limit):
+                k += 1
+                level = {b for a, b in pairs if a in level} - set(depth)
+                depth.update(dict.fromkeys(level, k))
+            return depth
+
+        starts = ["n0", "n1", "elsewhere"]
+        seeds = spark.createDataFrame([(x,) for x in [*starts, "n0", None]], "node string")
+        for limit in (None, 0, 2) if most else (None,):
+            assert dict(C.reach(e, seeds, limit).collect()) == brute(starts, limit)
+        groups = spark.createDataFrame([("a", "n0"), ("a", "elsewhere"), ("b", "n1"), (None, "n0"), ("c", None)], "seed string, node string")
+        want = {(s, x, k) for s, g in (("a", ["n0", "elsewhere"]), ("b", ["n1"]), (None, ["n0"])) for x, k in brute(g).items()}
+        assert {tuple(r) for r in C.reach_each(e, groups).collect()} == want
+        if not most:  # each round of a loop of joins is a job of a second, so the longer loops are left out
+            return
+        reach = {x: set(brute([x])) for x in {y for p in pairs for y in p}}
+        assert dict(C.components(e).collect()) == {x: min(y for y in r if x in reach[y]) for x, r in reach.items()}
+        ends = [y for y in brute(["n0"]) if y != "n0"][-1:] or ["zzz"]
+        path = [r.node for r in C.shortest_path(e.where("src is not null and dst is not null"), seeds.where("node = 'n0'").distinct(), spark.createDataFrame([(ends[0],)], "node string")).orderBy("step").collect()]
+        assert len(path) == (brute(["n0"])[ends[0]] + 1 if ends != ["zzz"] else 0) and all(p in pairs for p in zip(path, path[1:], strict=False))
+    none = e.where("false")
+    assert C.reach(none, seeds.where("false")).count() == 0 and C.reach_each(none, groups.where("false")).count() == 0 and C.components(none).count() == 0
+
+
+def test_long_chains(spark):
+    e = spark.range(5000).selectExpr("concat('n', id) as src", "concat('n', id + 1) as dst")
+    assert C.reach(e, spark.createDataFrame([("n0",)], "node string")).agg(F.max("depth")).first()[0] == 5000
+    path = C.shortest_path(e.where("length(src) < 4"), spark.createDataFrame([("n0",)], "node string"), spark.createDataFrame([("n60",)], "node string"))
+    assert path.count() == 61
