@@ -227,7 +227,9 @@ def _levels(links: DataFrame, seeds: DataFrame, keys: list[str], max_depth: int
     while more and (max_depth is None or depth < max_depth):
         last = table.read().where(F.col("depth") == depth)
         new = last.join(links, F.col("node") == F.col("src")).select(*keys, F.col("dst").alias("node")).distinct()
-        more = table.add(new.join(table.read(), [*keys, "node"], "left_anti"), depth + 1)
+        # a null seed is a seed as well, so keys are compared null-safe
+        same = (F.col("n.node") == F.col("t.node")) if not keys else (F.col("n.node") == F.col("t.node")) & F.col("n.seed").eqNullSafe(F.col("t.seed"))
+        more = table.add(new.alias("n").join(table.read().alias("t"), same, "left_anti"), depth + 1)
         depth += 1
     release(links)
     return table.read().select(*keys, "node", "depth")
