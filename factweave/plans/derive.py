@@ -248,7 +248,12 @@ def c9_excluded_namespaces(spark, d):
         m as (select node, depth from r) select provider, operation, min(depth)::int as nearest, count(*) as sites from effects join m on node = enclosing_symbol_id group by 1, 2"""
 )
 def j17_reaches(spark, d):
-    seeds = R.match_nodes(T(spark, d, "call_edges").select(F.col("from_sym").alias("node")).distinct(), "node", "Controller.Render")
+    return reaches(spark, d, "Controller.Render")
+
+
+def reaches(spark, d, pattern):
+    """(provider, operation, nearest, sites): the effects below the methods that a pattern matches, without handoffs."""
+    seeds = R.match_nodes(T(spark, d, "call_edges").select(F.col("from_sym").alias("node")).distinct(), "node", pattern)
     m = C.reach(_sync_edges(spark, d), seeds)
     return effects(spark, d).join(m, F.col("node") == F.col("enclosing_symbol_id")).groupBy("provider", "operation").agg(F.min("depth").alias("nearest"), F.count(F.lit(1)).alias("sites"))
 

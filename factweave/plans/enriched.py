@@ -15,17 +15,15 @@ from factweave.operators import dispatch as D
 from factweave.operators import effects as X
 from factweave.operators import entrypoints as EP
 from factweave.operators import generics as N
-from factweave.operators import graph as G
 from factweave.operators import hazards as H
 from factweave.operators import impact as I
 from factweave.operators import relational as R
 from factweave.operators import search as S
-from factweave.operators import tree as V
 from factweave.plans import projection as P
 from factweave.plans._base import Book
 from factweave.plans.derive import _DECL, _NAME, EFFECTS_SQL, effects
 from factweave.plans.graphs import _ARITY, MINED_SQL, _edges, _seeds
-from factweave.plans.more import _BIND, _bindings
+from factweave.plans.more import _BIND, _MONO, e16_monomorphized_edges
 from factweave.sources.tables import table as T
 
 book = Book()
@@ -368,25 +366,13 @@ def d16_attributed_entry_points(spark, d):
     return EP.inherited(m.where("contains(symbol_id, '(System.')"), types, ["*"], "handler", attributed=a).select("method", "file_path", "line")
 
 
-_MONO = """known as (select distinct method, b from i), made as (select e.from_sym, e.to_sym, g.forwards, g.t, case when contains(e.from_sym, '~λ') then split_part(e.from_sym, '~λ', 1) else e.from_sym end as owner from e left join g using (from_sym, to_sym)),
-    plain as (select from_sym, case when not forwards and (to_sym, t) in (select method, b from known) then to_sym || '~mono⟨' || t || '⟩' else to_sym end as to_sym from made),
-    copies as (select from_sym || '~mono⟨' || k.b || '⟩' as from_sym, case when forwards is null then to_sym when (to_sym, case when forwards then k.b else t end) in (select method, b from known) then to_sym || '~mono⟨' || case when forwards then k.b else t end || '⟩' else to_sym end as to_sym
-      from made join known k on k.method = owner)"""
-
-
-@book.query(f"with recursive {_BIND}, {_MONO} select from_sym, to_sym from plain union select from_sym, to_sym from copies")
-def e16_instance_edges(spark, d):
-    e = _bindings(spark, d)
-    return N.monomorphize(e, N.instances(e, per_method=None, in_all=None)).select("from_sym", "to_sym").distinct()
-
-
 @book.query(
     f"""with recursive {_BIND}, {_MONO}, edges as (select from_sym as src, to_sym as dst from plain union select from_sym, to_sym from copies),
         r(node, depth) using key (node) as (select distinct from_sym, 0 from call_edges where contains(lower(from_sym), 'controller.render') union select dst, min(depth) + 1 from r join edges on src = node where dst not in (select node from recurring.r) group by dst)
         select regexp_replace(node, '~mono⟨.*?⟩', '', 'g') as node, min(depth) as depth from r group by 1"""
 )
 def e17_collapsed_reach(spark, d):
-    edges = C.edge_list(e16_instance_edges(spark, d))
+    edges = C.edge_list(e16_monomorphized_edges(spark, d))
     return N.collapse(C.reach(edges, _seeds(spark, d)))
 
 
@@ -399,11 +385,6 @@ def f11_with_delegates(spark, d):
     return D.mined(facts)
 
 
-@book.query(f"with {EFFECTS_SQL} select enclosing_symbol_id, l || case when n > 1 then ' ×' || n else '' end as label from (select enclosing_symbol_id, provider || ':' || operation || ':' || resource as l, count(*) as n from effects group by 1, 2)")
-def i10_effect_labels(spark, d):
-    return V.effect_groups(effects(spark, d))
-
-
 _LISTED = r"""ctl as (select distinct file_path, line, min(enclosing_symbol_id) over (partition by file_path, line) as method from (select distinct file_path, line, enclosing_symbol_id from reference_facts where ref_kind = 'ctor' and starts_with(target_symbol_id, 'M:Corvane.Logging') and enclosing_symbol_id like 'M:%.%'
       and contains(split_part(split_part(regexp_extract(substr(split_part(enclosing_symbol_id, '(', 1), 3), '^(.*)[.][^.]*$', 1), '{', 1), '`', 1), 'Controller')))"""
 

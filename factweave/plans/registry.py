@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """What a pattern's methods reach, and the effects there."""
-    return derive.j17_reaches(spark, folder)
+    return derive.reaches(spark, folder, "Platform")
