@@ -94,7 +94,8 @@ def reach_each(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
 
     # a seed costs a search, not bytes: as many tasks as pay off, whatever their size
     tasks = max(shuffle_partitions(edges.sparkSession), 2 * edges.sparkSession.sparkContext.defaultParallelism)
-    return starts.repartition(tasks, "seed").sortWithinPartitions("seed").mapInArrow(run, f"seed {kind}, node string, depth int")
+    found = starts.repartition(tasks, "seed").sortWithinPartitions("seed").mapInArrow(run, f"seed {kind}, node string, depth int")
+    return materialize(found, "reach")  # callers join it with itself and others
 
 
 def _links(edges: DataFrame) -> DataFrame:

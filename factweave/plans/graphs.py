@@ -301,7 +301,21 @@ def f25_adjacency_order(spark, d):
     return G.adjacency_places(T(spark, d, "call_edges")).drop("receiver_type")
 
 
-@book.query()
+_OWN = "split_part(split_part(regexp_extract(substr(split_part({c}, '(', 1), 3), '^(.*)[.][^.]*$', 1), '{{', 1), '`', 1)"
+
+
+@book.query(
+    f"""with recursive {P.SQL_DISPATCH}, {MINED_SQL}, bare as (select distinct split_part(split_part(related_symbol_id, '{{', 1), '`', 1) as up, split_part(split_part(type_symbol_id, '{{', 1), '`', 1) as down, relation_kind from relations),
+        bd(anc, type, depth) as (select up, up, 0 from bare union select down, down, 0 from bare union select anc, down, depth + 1 from bd join bare on up = type where relation_kind = 'base'),
+        rt as (select anc, type from bd union select up, down from bare where relation_kind = 'interface' union select b.up, bd.type from bare b join bd on bd.anc = b.down where b.relation_kind = 'interface'),
+        fans as (select distinct src as hub, dst, 'T:' || {_OWN.format(c='dst')} as type from o where src <> dst),
+        pairs as (select distinct hub, split_part(split_part(m.type, '{{', 1), '`', 1) as receiver, 'T:' || {_OWN.format(c='hub')} as own from fans join methods m on m.symbol_id = dst),
+        useful as (select hub, receiver from pairs where receiver <> own and (own, receiver) in (select anc, type from rt)),
+        within_ as (select u.hub, u.receiver, f.dst from useful u join fans f using (hub) where (u.receiver, f.type) in (select anc, type from rt)),
+        up_ as (select u.hub, u.receiver, f.dst, bd.depth from useful u join fans f using (hub) join bd on bd.anc = f.type and bd.type = u.receiver where (u.hub, u.receiver) not in (select hub, receiver from within_))
+        select p.hub, p.receiver, f.dst from pairs p join fans f using (hub) where (p.hub, p.receiver) not in (select hub, receiver from useful) union select hub, receiver, dst from within_
+        union select hub, receiver, dst from up_ x where depth = (select min(depth) from up_ y where y.hub = x.hub and y.receiver = x.receiver)"""
+)
 def f14_narrowed_fans(spark, d):
     relations = P.type_relations(spark, d)
     fans = D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")).select(F.col("src").alias("hub"), "dst").distinct()

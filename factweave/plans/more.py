@@ -18,7 +18,8 @@ from factweave.operators import snapshots as S
 from factweave.plans import projection as P
 from factweave.plans._base import Book
 from factweave.plans.derive import EFFECTS_SQL, effects
-from factweave.plans.graphs import MINED_SQL, _delivery, _edges, _seeds
+from factweave.plans.graphs import _CHA, MINED_SQL, _delivery, _edges, _seeds
+from factweave.plans.graphs import SQL as GRAPHS_SQL
 from factweave.sources.tables import table as T
 
 book = Book()
@@ -102,7 +103,13 @@ def f22_reverse_dispatch(spark, d):
     return D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')")).groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("hubs"))
 
 
-@book.query()
+_DISPATCH = P.SQL_DISPATCH.removeprefix(f"{P.SQL_TYPES}, {P.SQL_METHODS},")
+
+
+@book.query(
+    f"""{_CHA}, {_DISPATCH}, {MINED_SQL} select src, dst, 'override-dispatch' as kind from over_ where src <> dst union select src, dst, 'impl-dispatch' from impl_ where src <> dst
+        union select src, dst, kind from ({GRAPHS_SQL['f12_error_type_recovery']}) union select src, dst, kind from cha where src not in (select src from o where src <> dst)"""
+)
 def f23_all_dispatch_edges(spark, d):
     """Mined dispatch, recovery of unresolved types, and the hierarchy for members without either."""
     found = D.mined(P.dispatch_facts(spark, d).where("kind in ('override', 'impl')"))
