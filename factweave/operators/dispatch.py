@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import docid
 from factweave.operators import closure
+from factweave.runtime import materialize
 
 # The edge kinds that dispatch makes, by the kind of mined fact.
 EDGE_KINDS = {"impl": "impl-dispatch", "override": "override-dispatch", "delegate_bind": "delegate-dispatch"}
@@ -97,12 +98,14 @@ def narrow_by_receiver(calls: DataFrame, fans: DataFrame, descendants: DataFrame
     that has one; if there are none either, nothing. ``bases``, like ``descendants`` but along base relations only, is
     where ancestors are looked for when ``descendants`` holds implementers too.
     """
-    pairs = calls.select("hub", "receiver").distinct().withColumn("own", docid.strip_generic(docid.method_type("hub")))
+    pairs = materialize(calls.select("hub", "receiver").distinct().withColumn("own", docid.strip_generic(docid.method_type("hub"))), "pairs")
     d = descendants.select("ancestor", "type")
     useful = pairs.where("receiver is not null and receiver <> own").join(d.select(F.col("ancestor").alias("own"), F.col("type").alias("receiver")), ["own", "receiver"], "left_semi")
+    useful = materialize(useful.select("hub", "receiver"), "useful")
     typed = fans.withColumn("type", docid.strip_generic(docid.method_type("dst")))
     full = pairs.join(useful.select("hub", "receiver"), (pairs.hub == useful.hub) & pairs.receiver.eqNullSafe(useful.receiver), "left_anti").join(fans, "hub").select("hub", "receiver", "dst")
     within = useful.select("hub", "receiver").join(typed, "hub").join(d.select(F.col("ancestor").alias("receiver"), "type"), ["receiver", "type"], "left_semi").select("hub", "receiver", "dst")
+    within = materialize(within, "within")
     none = useful.select("hub", "receiver").join(within, ["hub", "receiver"], "left_anti")
     line = descendants if bases is None else bases
     up = none.join(typed, "hub").join(line.select(F.col("ancestor").alias("type"), F.col("type").alias("receiver"), "depth"), ["receiver", "type"])
