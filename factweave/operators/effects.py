@@ -255,7 +255,7 @@ def _entry_of(equal: str, value: str, holding: str, text: str):
     return lambda x: (x[equal] == value) & x[holding].contains(text)
 
 
-def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry: list[tuple[str, str]] = (), commits: list[str] = (), spans: list[dict] = (), payload: list[dict] = (), n_plus_1: bool = True) -> DataFrame:
+def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry: list[tuple[str, str]] = (), commits: list[str] = (), spans: list[dict] = (), payload: list[dict | str] = (), n_plus_1: bool = True) -> DataFrame:
     """Effects with ``observations``: array<struct<type, context, detail, confidence>>.
 
     looped_effect: in a loop. parallel_fanout: the innermost enclosing invocation that is one of ``fanout`` (receiver,
@@ -263,7 +263,8 @@ def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry:
     rule. concurrency_handled: a commit method of ``commits`` under a catch of a concurrency exception. Spans: one per
     rule of ``spans`` (type, kind, text, deny) that an enclosing scope fits, unless the provider is denied.
     unserializable_payload: the first rule of ``payload`` (texts, providers)
-    for the provider, or for all without providers, of whose texts the first in the type arguments. n_plus_1: in a foreach, the loop's
+    for the provider, or for all without providers, of whose texts the first in the type arguments;
+    a plain text is a rule for all. n_plus_1: in a foreach, the loop's
     variable occurs as a whole name in an argument. Missing structure columns mean nothing to observe.
     """
     e = with_optional(effects)
@@ -288,6 +289,7 @@ def observations(effects: DataFrame, fanout: list[tuple[str, str]] = (), retry:
         allowed = ~F.col("provider").isin(list(rule.get("deny", []))) if rule.get("deny") else F.lit(True)
         found.append(F.when((F.size(fit) > 0) & allowed, _observation(rule["type"], fit[0]["kind"], fit[0]["type"], "high")))
     if payload:
+        payload = [{"texts": [rule]} if isinstance(rule, str) else rule for rule in payload]
         gate = lambda rule: F.col("provider").isin(list(rule["providers"])) if rule.get("providers") else F.lit(True)
         first = F.coalesce(*[F.when(gate(rule) & F.col("type_arguments").contains(t), F.lit(t)) for rule in payload for t in rule["texts"]])
         found.append(F.when(first.isNotNull(), _observation("unserializable_payload", first, F.col("type_arguments"), "high")))
