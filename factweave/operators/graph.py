@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions import docid
-from factweave.runtime import with_dense_id
+from factweave.runtime import materialize, shuffle_partitions, with_dense_id
 
 # How far traversals follow handoffs, and the dispatcher of an event subscription.
 MODES = ["sync_cut", "async_exact", "async_include"]
 EVENT = "event"
 
+#: Members on a side of a cell in which a delegate field's edges are met, and how many fields have a bit (of 63).
+CELL, TOLD = 1024, 63
+
 
 def gate_handoffs(edges: DataFrame, mode: str) -> DataFrame:
     """sync_cut leaves out every handoff edge, async_exact those delivered to several handlers, async_include none."""
@@ -79,12 +82,45 @@ def delegate_field_edges(dispatch: DataFrame) -> DataFrame:
 
     ``dispatch`` (source_member, target_member, kind): delegate_field_bind has the field and the bound method,
     delegate_field_invoke the invoking method and the field, delegate_field_escape the field.
+
+    A hot field has more edges than any table has rows, so they are met once, in cells of about CELL by CELL members,
+    and not shuffled: of the TOLD fields with most edges each method has a bit, and an edge comes from the first field
+    that its ends share. Only the edges of other fields go through a distinct.
     """
     of = lambda k: dispatch.where(F.col("kind") == k)
-    bind = of("delegate_field_bind").select(F.col("source_member").alias("slot"), F.col("target_member").alias("to_sym"))
-    invoke = of("delegate_field_invoke").select(F.col("source_member").alias("from_sym"), F.col("target_member").alias("slot"))
+    bind = materialize(of("delegate_field_bind").select(F.col("source_member").alias("slot"), F.col("target_member").alias("to_sym")).where("slot is not null").distinct(), "bind")
+    invoke = materialize(of("delegate_field_invoke").select(F.col("source_member").alias("from_sym"), F.col("target_member").alias("slot")).where("slot is not null").distinct(), "invoke")
     escaped = of("delegate_field_escape").select(F.col("source_member").alias("slot"))
-    return bind.join(escaped, "slot", "left_anti").join(invoke, "slot").select("from_sym", "to_sym", F.lit("delegate-field").alias("kind"), F.lit("").alias("file_path"), F.lit(0).alias("line")).distinct()
+    n = lambda df, name: df.groupBy("slot").agg(F.count(F.lit(1)).alias(name))
+    slots = materialize(n(bind, "bound").join(n(invoke, "invoked"), "slot").join(escaped, "slot", "left_anti"), "slots")
+    most = slots.orderBy(F.desc(F.col("bound") * F.col("invoked")), "slot").limit(TOLD).select("slot").collect()
+    bits = slots.sparkSession.createDataFrame([(r.slot, 1 << i) for i, r in enumerate(most)], "slot string, bit long")
+    # how many pieces either side of a field is cut into
+    pieces = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    cut_ = slots.join(F.broadcast(bits), "slot", "left").select("slot", F.coalesce("bit", F.lit(0)).alias("bit"), pieces("bound").alias("xs"), pieces("invoked").alias("ys"))
+
+    def told(df: DataFrame, member: str, mask: str) -> DataFrame:
+        rows = df.join(cut_, "slot")
+        masks = rows.groupBy(F.col(member).alias("__m")).agg(F.bit_or("bit").alias(mask))
+        return rows.join(masks, F.col(member).eqNullSafe(F.col("__m"))).drop("__m")
+
+    spark = slots.sparkSession
+    tasks = max(shuffle_partitions(spark), 4 * spark.sparkContext.defaultParallelism)
+    cell = ["slot", "x", "y"]
+    piece = lambda member, c: F.pmod(F.xxhash64(member), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    to = materialize(told(bind, "to_sym", "tm").select("to_sym", "slot", "bit", "tm", piece("to_sym", "xs").alias("x"), "ys"), "bound")
+    by = materialize(told(invoke, "from_sym", "fm").select("from_sym", "slot", "fm", F.col("bit").alias("own"), piece("from_sym", "ys").alias("y"), "xs"), "invoked")
+
+    def pairs(hot: bool) -> DataFrame:
+        # a set number of tasks: the few bytes that come in say nothing about what goes out
+        b = to.where((F.col("bit") != 0) == hot).select("*", every("ys").alias("y")).drop("ys").repartition(tasks, *cell)
+        i = by.where((F.col("own") != 0) == hot).select("*", every("xs").alias("x")).drop("xs", "own").repartition(tasks, *cell)
+        return i.join(b, cell)
+
+    hot = pairs(True).where("(fm & tm & (bit - 1)) = 0").select("from_sym", "to_sym")
+    rest = pairs(False).where("(fm & tm) = 0").select("from_sym", "to_sym").distinct()
+    return hot.unionAll(rest).select("from_sym", "to_sym", F.lit("delegate-field").alias("kind"), F.lit("").alias("file_path"), F.lit(0).alias("line"))
 
 
 def delivery_edges(producers: DataFrame, handlers: DataFrame) -> DataFrame:

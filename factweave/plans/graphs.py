@@ -200,7 +200,7 @@ def f3_classify_handoffs(spark, d):
        select distinct from_sym, to_sym, 'delegate-field' as kind, '' as file_path, 0 as line from b join i using (slot) where slot not in (select slot from x)"""
 )
 def f4_delegate_field_edges(spark, d):
-    return G.delegate_field_edges(P.dispatch_facts(spark, d))
+    return G.delegate_field_edges(P.field_facts(spark, d))
 
 
 @book.query(

@@ -46,11 +46,16 @@ def dispatch_facts(spark: SparkSession, d: str) -> DataFrame:
     down = m.select(F.col("symbol_id").alias("target_member"), F.col("type").alias("type_symbol_id"), "i")
     kind = F.when(F.col("relation_kind") == "base", "override").otherwise("impl")
     hops = r.join(up, "related_symbol_id").join(down, ["type_symbol_id", "i"]).select("source_member", "target_member", kind.alias("kind"))
+    return hops.unionAll(field_facts(spark, d)).distinct()
+
+
+def field_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The delegate fields' part of the dispatch facts, which needs no types; copies are kept."""
     refs = table(spark, d, "reference_facts").where("target_symbol_id like 'F:%' and enclosing_symbol_id is not null")
     bind = refs.where("ref_kind = 'write'").select(F.col("target_symbol_id").alias("source_member"), F.col("enclosing_symbol_id").alias("target_member"), F.lit("delegate_field_bind").alias("kind"))
     invoke = refs.where("ref_kind = 'read' and enclosing_loop_kind is not null").select(F.col("enclosing_symbol_id").alias("source_member"), F.col("target_symbol_id").alias("target_member"), F.lit("delegate_field_invoke").alias("kind"))
     escape = refs.where("ref_kind = 'read' and enclosing_guards is not null").select(F.col("target_symbol_id").alias("source_member"), F.lit("").alias("target_member"), F.lit("delegate_field_escape").alias("kind"))
-    return hops.unionAll(bind).unionAll(invoke).unionAll(escape).distinct()
+    return bind.unionAll(invoke).unionAll(escape)
 
 
 #: The same in SQL, as common table expressions.

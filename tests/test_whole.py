@@ -1,7 +1,10 @@
 """Registered queries that have to do the whole job, on made tables against brute force."""
 
+import random
+
 import __spark_entry__ as entry
 from factweave.operators import dispatch as D
+from factweave.operators import graph as G
 from factweave.sources.tables import SCHEMAS
 
 
@@ -94,3 +97,18 @@ def test_nearest_ancestor_is_a_base(spark):
     bases = D.type_descendants(rel, ["base"])
     got = D.narrow_by_receiver(calls, fans, D.receiver_types(rel, bases), bases)
     assert rows(got, "dst") == [("M:Base.Go",)]
+
+
+def test_delegate_field_edges_are_all_there_once(spark, tmp_path, monkeypatch):
+    # only references are read; hot fields, fields beyond those with a bit, an escaped one, ends that share several
+    rng = random.Random(4)
+    fields = [f"F:C.f{i}" for i in range(6)]
+    facts = [(f, k, f"M:{k}{rng.randrange(9)}") for f in fields for k in ("write", "read") for _ in range(rng.choice([3, 40]))]
+    refs = [{"target_symbol_id": f, "ref_kind": k, "enclosing_symbol_id": m, "enclosing_loop_kind": "for" if k == "read" else None} for f, k, m in [*facts, *facts[:9]]]
+    refs.append({"target_symbol_id": fields[2], "ref_kind": "read", "enclosing_symbol_id": "M:other", "enclosing_guards": "x"})
+    put(spark, tmp_path, "reference_facts", refs)
+    want = sorted({(a, b) for f, k, a in facts for g, o, b in facts if f == g != fields[2] and (k, o) == ("read", "write")})
+    for cell, told in ((1024, 63), (2, 2), (4, 0)):
+        monkeypatch.setattr(G, "CELL", cell, raising=False)
+        monkeypatch.setattr(G, "TOLD", told, raising=False)
+        assert rows(run(spark, "f4_delegate_field_edges", tmp_path), "from_sym", "to_sym") == want
