@@ -79,12 +79,14 @@ def d13_located_entry_points(spark, d):
 def f10_shaped_graph(spark, d):
     """The whole shaping in its order: first-party edges, handoffs, delivery, delegate fields, event marks."""
     refs = T(spark, d, "reference_facts")
-    e = R.call_edges_of(refs).select("from_sym", "to_sym", "kind", "file_path", "line").withColumn("handoff_dispatcher", F.lit(None).cast("string")).withColumn("delivery_precision", F.lit(None).cast("string"))
+    e = R.call_edges_of(refs).select("from_sym", "to_sym", "kind", "file_path", "line").withColumn("handoff_dispatcher", F.lit(None).cast("string")).withColumn("delivery_precision", F.lit(None).cast("string")).distinct()
     consumers = refs.where("ref_kind in ('invocation', 'ctor')").select(F.col("enclosing_symbol_id").alias("from_sym"), "file_path", "line", F.col("target_symbol_id").alias("consumer"))
     e = G.classify_handoffs(e, consumers, [("queued", "Corvane.Messaging"), ("platform", "Corvane")])
     delivered = G.delivery_edges(*_delivery(spark, d)).withColumn("handoff_dispatcher", F.col("tag")).select(*e.columns)
-    fields = G.delegate_field_edges(P.dispatch_facts(spark, d)).withColumn("handoff_dispatcher", F.lit(None).cast("string")).withColumn("delivery_precision", F.lit(None).cast("string")).select(*e.columns)
-    return G.mark_event_subscriptions(e.unionAll(delivered).unionAll(fields), refs).distinct()
+    fields = G.delegate_field_edges(P.field_facts(spark, d)).withColumn("handoff_dispatcher", F.lit(None).cast("string")).withColumn("delivery_precision", F.lit(None).cast("string")).select(*e.columns)
+    # only method groups can be event subscriptions, and each part has its edges once, under kinds and dispatchers of
+    # its own: neither the delivered edges nor those of fields, which are most of all, are shuffled again
+    return G.mark_event_subscriptions(e, refs).unionAll(delivered).unionAll(fields)
 
 
 @book.query(

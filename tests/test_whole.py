@@ -112,3 +112,18 @@ def test_delegate_field_edges_are_all_there_once(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(G, "CELL", cell, raising=False)
         monkeypatch.setattr(G, "TOLD", told, raising=False)
         assert rows(run(spark, "f4_delegate_field_edges", tmp_path), "from_sym", "to_sym") == want
+
+
+def test_shaped_graph_has_every_part_once(spark, tmp_path):
+    # only references are read; a queued, an event's and a plain method group, copies, a delivery, a field's edge
+    ref = lambda m, t, kind, line=1, **more: {"enclosing_symbol_id": m, "target_symbol_id": t, "ref_kind": kind, "file_path": "f", "line": line, "target_in_source": True, **more}
+    refs = [
+        ref("M:a", "M:b", "invocation"), ref("M:a", "M:b", "invocation", receiver_type="T:X"), ref("M:a", "M:h", "methodGroup", 2), ref("M:a", "M:Corvane.Messaging.Q.Put", "invocation", 2, target_in_source=False),
+        ref("M:a", "M:h", "methodGroup", 3), ref("M:a", "E:C.Done", "read", 3), ref("M:a", "M:h", "methodGroup", 4), ref("M:s", "M:net.Send", "invocation", 5, target_in_source=False, first_argument_template="/x"),
+        ref("M:r", "M:h", "invocation", 6, first_argument_template="/x"), ref("M:w", "F:C.f", "write", 7, target_in_source=False), ref("M:i", "F:C.f", "read", 8, enclosing_loop_kind="for"),
+    ]
+    put(spark, tmp_path, "reference_facts", [*refs, *refs])
+    assert rows(run(spark, "f10_shaped_graph", tmp_path), "from_sym", "to_sym", "kind", "file_path", "line", "handoff_dispatcher", "delivery_precision") == sorted([
+        ("M:a", "M:b", "invocation", "f", 1, None, None), ("M:a", "M:h", "handoff", "f", 2, "queued", None), ("M:a", "M:h", "handoff", "f", 3, "event", None), ("M:a", "M:h", "methodGroup", "f", 4, None, None),
+        ("M:r", "M:h", "invocation", "f", 6, None, None), ("M:s", "M:h", "handoff", "f", 5, "http", "exact"), ("M:i", "M:w", "delegate-field", "", 0, None, None),
+    ], key=str)
