@@ -23,7 +23,7 @@ from factweave.plans import projection as P
 from factweave.plans._base import Book
 from factweave.plans.derive import _DECL, _NAME, EFFECTS_SQL, effects
 from factweave.plans.graphs import _ARITY, MINED_SQL, _edges, _seeds
-from factweave.plans.more import _BIND, _MONO, e16_monomorphized_edges
+from factweave.plans.more import _BIND, _MONO, _bindings
 from factweave.sources.tables import table as T
 
 book = Book()
@@ -372,8 +372,7 @@ def d16_attributed_entry_points(spark, d):
         select regexp_replace(node, '~mono⟨.*?⟩', '', 'g') as node, min(depth) as depth from r group by 1"""
 )
 def e17_collapsed_reach(spark, d):
-    edges = C.edge_list(e16_monomorphized_edges(spark, d))
-    return N.collapse(C.reach(edges, _seeds(spark, d)))
+    return N.collapsed_reach(_bindings(spark, d), _seeds(spark, d))
 
 
 @book.query(

@@ -2,8 +2,12 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import __spark_entry__ as entry
 from factweave.operators import dispatch as D
+from factweave.operators import generics as N
 from factweave.operators import graph as G
 from factweave.sources.tables import SCHEMAS
 
@@ -127,3 +131,49 @@ def test_shaped_graph_has_every_part_once(spark, tmp_path):
         ("M:a", "M:b", "invocation", "f", 1, None, None), ("M:a", "M:h", "handoff", "f", 2, "queued", None), ("M:a", "M:h", "handoff", "f", 3, "event", None), ("M:a", "M:h", "methodGroup", "f", 4, None, None),
         ("M:r", "M:h", "invocation", "f", 6, None, None), ("M:s", "M:h", "handoff", "f", 5, "http", "exact"), ("M:i", "M:w", "delegate-field", "", 0, None, None),
     ], key=str)
+
+
+def brute_collapsed(edges, seeds):
+    """Edges (from, to, token), the token a type, True for the caller's binding or None."""
+    held = {(b, t) for _, b, t in edges if t not in (None, True)}
+    while more := {(b, x) for a, b, t in edges if t is True for m, x in held if m == a} - held:
+        held |= more
+    to = lambda b, x: (b, x) if (b, x) in held else (b, None)
+    made = [((a, None), to(b, None if t is True else t)) for a, b, t in edges]
+    made += [((a, x), to(b, x if t is True else t)) for a, b, t in edges for m, x in held if m == a.split("~λ")[0]]
+    out = {}
+    for (node, _), k in brute_reach(made, [(s, None) for s in seeds]).items():
+        out[node] = min(k, out.get(node, k))
+    return sorted(out.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_collapsed_reach_makes_no_instances(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    make = N.monomorphize
+    for k in range(40):
+        # sparse random calls among plain methods, generic ones and their lambdas
+        names = [f"M:N.P{i}.Go" for i in range(5)] + [f"M:N.G{i}`1.Go{part}" for i in range(6) for part in ("", "~λ0", "~λ0~λ1")]
+        edges = set()
+        for _ in range(rng.choice([15, 30, 60])):
+            a, b = rng.choice(names), rng.choice(names)
+            edges.add((a, b, None if "`1" not in b or rng.random() < 0.1 else True if "`1" in a else a[4:6]))
+        edges, starts = sorted(edges, key=str), [names[0], names[6]]
+        want = brute_collapsed(edges, starts)
+        if k < 39:  # the search itself
+            ids = sorted({x for e in edges for x in e[:2]} | set(starts))
+            types = sorted({t for *_, t in edges if isinstance(t, str)})
+            outer = [N.PLAIN if "~λ" not in x else ids.index(x.split("~λ")[0]) if x.split("~λ")[0] in ids else N.NOWHERE for x in ids]
+            token = [N.PLAIN if t is None else N.FORWARDS if t is True else types.index(t) for *_, t in edges]
+            a, b, t, o, s = (np.array(x, dtype=np.int64) for x in ([ids.index(e[0]) for e in edges], [ids.index(e[1]) for e in edges], token, outer, [ids.index(x) for x in starts]))
+            depth = N._collapsed(o, a, b, t, s)
+            assert [(x, int(d)) for x, d in zip(ids, depth, strict=True) if d >= 0] == want
+            continue
+        bound = [(a, b, None if t is None else '["T:0"]' if t is True else f'["C:{t}"]') for a, b, t in edges]
+        df = spark.createDataFrame(bound, "from_sym string, to_sym string, binding string")
+        seeds = spark.createDataFrame([(x,) for x in starts], "node string")
+        monkeypatch.setattr(N, "monomorphize", None)
+        assert rows(N.collapsed_reach(df, seeds), "node", "depth") == want
+        monkeypatch.setattr(N, "monomorphize", make)
+        monkeypatch.setattr(N, "MOST_BITS", -1)
+        assert rows(N.collapsed_reach(df, seeds), "node", "depth") == want
