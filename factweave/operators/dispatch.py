@@ -104,11 +104,19 @@ def narrow_by_receiver(calls: DataFrame, fans: DataFrame, descendants: DataFrame
     useful = materialize(useful.select("hub", "receiver"), "useful")
     typed = fans.withColumn("type", docid.strip_generic(docid.method_type("dst")))
     full = pairs.join(useful.select("hub", "receiver"), (pairs.hub == useful.hub) & pairs.receiver.eqNullSafe(useful.receiver), "left_anti").join(fans, "hub").select("hub", "receiver", "dst")
-    within = useful.select("hub", "receiver").join(typed, "hub").join(d.select(F.col("ancestor").alias("receiver"), "type"), ["receiver", "type"], "left_semi").select("hub", "receiver", "dst")
+    # a pair meets its hub's targets or its receiver's subtree, whichever are fewer: a hot hub's receivers each meet little
+    fan = typed.groupBy("hub").agg(F.count(F.lit(1)).alias("fan"))
+    below = d.groupBy(F.col("ancestor").alias("receiver")).agg(F.count(F.lit(1)).alias("below"))
+    sized = materialize(useful.join(fan, "hub").join(below, "receiver").select("hub", "receiver", (F.col("fan") <= F.col("below")).alias("few")), "sized")
+    tree = d.select(F.col("ancestor").alias("receiver"), "type")
+    by_fan = sized.where("few").join(typed, "hub").join(tree, ["receiver", "type"], "left_semi")
+    by_tree = sized.where("not few").join(tree.distinct(), "receiver").join(typed, ["hub", "type"])
+    within = by_fan.select("hub", "receiver", "dst").unionAll(by_tree.select("hub", "receiver", "dst"))
     within = materialize(within, "within")
     none = useful.select("hub", "receiver").join(within, ["hub", "receiver"], "left_anti")
     line = descendants if bases is None else bases
-    up = none.join(typed, "hub").join(line.select(F.col("ancestor").alias("type"), F.col("type").alias("receiver"), "depth"), ["receiver", "type"])
+    # a type has few ancestors, so they come before the targets
+    up = none.join(line.select(F.col("ancestor").alias("type"), F.col("type").alias("receiver"), "depth"), "receiver").join(typed, ["hub", "type"])
     nearest = up.groupBy("hub", "receiver").agg(F.min("depth").alias("depth"))
     above = up.join(nearest, ["hub", "receiver", "depth"]).select("hub", "receiver", "dst")
     return full.unionAll(within).unionAll(above).distinct()

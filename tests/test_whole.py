@@ -177,3 +177,23 @@ def test_collapsed_reach_makes_no_instances(spark, monkeypatch, seed):
         monkeypatch.setattr(N, "monomorphize", make)
         monkeypatch.setattr(N, "MOST_BITS", -1)
         assert rows(N.collapsed_reach(df, seeds), "node", "depth") == want
+
+
+def test_narrowing_meets_the_smaller_side(spark, monkeypatch):
+    # a hot hub: all of a tree's types are targets and receivers, which never meet all in all
+    n = 400
+    rel = spark.createDataFrame([(f"T:N.t{i}", f"T:N.t{i // 4}", "base") for i in range(1, n)], "type_symbol_id string, related_symbol_id string, relation_kind string")
+    fans = spark.createDataFrame([("M:N.t0.Go", f"M:N.t{i}.Go") for i in range(1, n) if i % 5] + [("M:N.t1.Go", "M:N.t4.Go")], "hub string, dst string")
+    calls = spark.createDataFrame([(h, f"T:N.t{i}") for h in ("M:N.t0.Go", "M:N.t1.Go") for i in range(n)] + [("M:N.t0.Go", None)], "hub string, receiver string")
+    up = lambda i: [i, *(up(i // 4) if i else [])]
+    want = set()
+    for hub, own, targets in (("M:N.t0.Go", 0, [i for i in range(1, n) if i % 5]), ("M:N.t1.Go", 1, [4])):
+        for r in [None, *range(n)] if own == 0 else range(n):
+            inside = targets if r is None or r == own or own not in up(r) else [x for x in targets if r in up(x)] or next(([a] for a in up(r) if a in targets), [])
+            want |= {(hub, None if r is None else f"T:N.t{r}", f"M:N.t{x}.Go") for x in inside}
+    bases = D.type_descendants(rel, ["base"])
+    kept, written = D.materialize, {}
+    monkeypatch.setattr(D, "materialize", lambda df, tag: written.setdefault(tag, kept(df, tag)))
+    got = D.narrow_by_receiver(calls, fans, D.receiver_types(rel, bases), bases)
+    assert rows(got, "hub", "receiver", "dst") == sorted(want, key=str)
+    assert written["sized"].where("hub = 'M:N.t0.Go' and few").count() <= 1
