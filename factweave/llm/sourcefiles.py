@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm import grammar
@@ -28,8 +28,8 @@ from factweave.runtime import materialize, release, shuffle_partitions
 
 #: Tokens below which a file has no grammar to speak of.
 LEAST_TOKENS = 40
-#: Tokens of a phrase, and in how many library files (three at most) it may occur to speak for each of them.
-PHRASE_TOKENS, PHRASE_FILES = 6, 3
+#: Tokens of a phrase. It speaks for every library file that holds it, however many do.
+PHRASE_TOKENS = 6
 #: Share of a file's tokens in such phrases of one library file, from which it is a copy, and in phrases that so many
 #: repositories hold.
 COPIED, SHARED, REPOSITORIES = 0.4, 0.8, 3
@@ -186,31 +186,59 @@ def _features(rows: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def copied_shares(told: DataFrame, upstream: DataFrame, repository: str) -> DataFrame:
-    """(file_no, copied, shared): the greatest share of a file's tokens in phrases of one library file, and the share in
-    phrases that at least REPOSITORIES repositories hold; files without either are left out.
+    """(file_no, copied, shared): a share of a file's tokens in phrases of one library file, which is at least COPIED if
+    any library file's is and may else be less than the greatest, and the share in phrases that at least REPOSITORIES
+    repositories hold; files without either are left out.
 
     Libraries meet files in joins on phrases, so neither has to fit anywhere; a library of a size that Spark broadcasts
     by its own statistics is broadcast. The library side has one row per phrase, so a phrase that very many files hold
-    is a skewed key of one side only, which adaptive execution splits.
+    is a skewed key of one side only, which adaptive execution splits. That row names the set of the library files that
+    hold the phrase, so phrases of very many library files make no more rows than others. Most files are decided by
+    their tokens per set; only for the others are sets taken apart into files (``_within_sets``).
     """
     texts = upstream.where(F.col("text").isNotNull()).select("text").distinct().withColumn("file", F.xxhash64("text"))
     phrases = lambda df: df.select("*", F.explode(F.arrays_zip("phrases", "phrase_tokens")).alias("p")).select(
         *[c for c in df.columns if not c.startswith("phrase")], F.col("p.phrases").alias("phrase"), F.col("p.phrase_tokens").alias("size")
     )
-    held = phrases(_features(texts, ["file"], "text").select("file", "phrases", "phrase_tokens")).select("file", "phrase").distinct()
-    library = held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("a"), F.max("file").alias("b"), F.sum(F.col("file").cast("decimal(38,0)")).alias("s"))
-    # up to three files from their least, their greatest and their sum: no list is gathered
-    third = (F.col("s") - F.col("a") - F.col("b")).cast("long")
-    files = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "b", third))
-    library = materialize(library.where(F.col("n") <= PHRASE_FILES).select("phrase", files.alias("files")), "library")
+    held = materialize(_features(texts, ["file"], "text").select("file", F.explode(F.array_distinct("phrases")).alias("phrase")), "held")
+    # a set is told from others by its size and the sum of its files' hashes: no list is gathered
+    library = held.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first"), F.sum(F.col("file").cast("decimal(38,0)")).alias("s"))
+    library = materialize(library.select("phrase", "n", "first", F.xxhash64("n", "s").alias("holders")), "library")
     own = phrases(told.select("file_no", repository, "n_tokens", "phrases", "phrase_tokens"))
-    per = own.join(library, "phrase").select("file_no", "n_tokens", "size", F.explode("files").alias("file")).groupBy("file_no", "n_tokens", "file").agg(F.sum("size").alias("size"))
-    copied = per.groupBy("file_no").agg(F.max(F.col("size") / F.col("n_tokens")).alias("copied"))
+    per = own.join(library, "phrase").select("file_no", "n_tokens", "size", "holders", "n", "first").repartition("file_no")
+    per = per.groupBy("file_no", "n_tokens", "holders", "n", "first").agg(F.sum("size").alias("size"))
+    # the first file of several sets holds the tokens of them all: edits and versions of one file have the same first
+    per = per.withColumn("of_first", F.sum("size").over(Window.partitionBy("file_no", "first")))
+    per = per.groupBy("file_no", "n_tokens").agg(
+        (F.max("of_first") / F.col("n_tokens")).alias("copied"), (F.sum("size") / F.col("n_tokens")).alias("most"), F.collect_list(F.struct("n", "holders", "size")).alias("sets")
+    )
+    per = materialize(per.select("file_no", "n_tokens", "copied", F.when((F.col("copied") < COPIED) & (F.col("most") >= COPIED), F.col("sets")).alias("sets")), "per_file")
+    copied = per.join(_within_sets(per, library, held), "file_no", "left").select("file_no", F.greatest("copied", "found").alias("copied"))
     spread = own.select("phrase", repository).distinct().groupBy("phrase").count().where(F.col("count") >= REPOSITORIES).select("phrase")
     shared = own.select("file_no", "n_tokens", "phrase", "size").join(spread, "phrase", "left_semi").groupBy("file_no").agg((F.sum("size") / F.max("n_tokens")).alias("shared"))
     return copied.join(shared, "file_no", "full_outer")
 
 
+def _within_sets(per: DataFrame, library: DataFrame, held: DataFrame) -> DataFrame:
+    """(file_no, found): the greatest share of one library file, for files with ``sets``, where it is at least COPIED.
+
+    A library file with such a share is in one of a file's rarer sets at least: the most common ones, which together hold
+    less than COPIED, are only met with the library files that are still possible after the rarer ones.
+    """
+    sets = per.where("sets is not null").select("file_no", "n_tokens", F.explode("sets").alias("s")).select("file_no", "n_tokens", "s.*")
+    common_first = Window.partitionBy("file_no").orderBy(F.desc("n"), "holders").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sets = sets.withColumn("rare", F.sum("size").over(common_first) / F.col("n_tokens") >= COPIED)
+    sets = sets.withColumn("left", F.sum(F.when(F.col("rare"), 0).otherwise(F.col("size"))).over(Window.partitionBy("file_no")))
+    # one phrase of a set has all of its files
+    files = library.groupBy("holders").agg(F.min("phrase").alias("phrase")).join(held, "phrase").select("holders", "file")
+    possible = sets.where("rare").join(files, "holders").groupBy("file_no", "n_tokens", "file").agg(F.sum("size").alias("size"), F.max("left").alias("left"))
+    possible = possible.where((F.col("size") + F.col("left")) / F.col("n_tokens") >= COPIED).drop("left")
+    common = sets.where("not rare").select("file_no", "holders", F.col("size").alias("more"))
+    whole = possible.join(common, "file_no", "left").join(files.withColumn("__in", F.lit(True)), ["holders", "file"], "left")
+    whole = whole.groupBy("file_no", "n_tokens", "file", "size").agg(F.sum(F.when(F.col("__in"), F.col("more")).otherwise(0)).alias("more"))
+    return whole.groupBy("file_no").agg(F.max((F.col("size") + F.col("more")) / F.col("n_tokens")).alias("found"))
+
+
 # Telling rules ---------------------------------------------------------------------------------------------------------
 
 

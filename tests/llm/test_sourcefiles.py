@@ -144,6 +144,31 @@ def test_copies_with_edits(spark):
     assert got["here"].shared > 0.8 and got["there"].shared > 0.8 and (got["whole"].shared or 0) < 0.2
 
 
+def test_copies_of_what_many_library_files_hold(spark):
+    rng = random.Random(12)
+    line = lambda: f"call{rng.randrange(900)}(arg{rng.randrange(900)}, {rng.choice('abc')}, \"{rng.randrange(10**6)}\");"
+    # every version of a library file, with its own edits; and files put together from the same blocks
+    base = [line() for _ in range(60)]
+    versions = ["\n".join(line() if rng.random() < 0.1 else x for x in base) for _ in range(9)]
+    blocks = ["\n".join(line() for _ in range(8)) for _ in range(20)]
+    lib = versions + ["\n".join(rng.sample(blocks, 7)) for _ in range(40)]
+    texts = {"version": versions[4], "between": "\n".join(base), "fresh": "\n".join(line() for _ in range(60))}
+    for i in range(60):
+        texts[f"m{i}"] = "\n".join(rng.sample(blocks, 5 + i % 5) + [line() for _ in range(i % 30)])
+    rows = spark.createDataFrame(list(texts.items()), "id string, text string").withColumn("repo", F.col("id"))
+    told = S._features(rows, ["id", "repo"], "text").withColumn("file_no", F.monotonically_increasing_id()).cache()
+    got = {r.id: r.copied or 0 for r in S.copied_shares(told, spark.createDataFrame([(x,) for x in lib], "text string"), "repo").join(told.select("id", "file_no"), "file_no", "right").collect()}
+    held = [set(p.tolist()) for p in S.file_features(lib)["phrases"]]
+    taken_apart = 0
+    for r in told.collect():
+        share = lambda files: sum(n for p, n in zip(r.phrases, r.phrase_tokens, strict=True) if any(p in held[f] for f in files)) / r.n_tokens  # noqa: E731, B023
+        greatest = max(share([f]) for f in range(len(lib)))
+        assert (got[r.id] >= S.COPIED) == (greatest >= S.COPIED) and got[r.id] <= greatest + 1e-9, r.id
+        taken_apart += share(range(len(lib))) >= S.COPIED > greatest
+    assert got["version"] >= S.COPIED and got["between"] >= S.COPIED and got["fresh"] < 0.1
+    assert taken_apart > 5 and sum(v >= S.COPIED for k, v in got.items() if k[0] == "m") > 5
+
+
 def test_telling_rules():
     rng = random.Random(7)
     body = lambda: HAND.replace("17", str(rng.randrange(99)))
